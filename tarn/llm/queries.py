@@ -6,9 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import media
+from . import bpe, media, simhash
 from .common import documents
 
+#: The vocabulary files of public tokenizers; their folder is a parameter of the operators.
+RANKS = "byte_bpe_50k.tiktoken"
+
 
 def op1_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text stored as a PNG, read back and described."""
@@ -16,8 +19,21 @@ def op1_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_features(stored).drop("media")
 
 
+def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every text and what they decode to, as digests."""
+    import public_tokenizers
+
+    df = bpe.digests(documents(spark, sf_dir), public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
+    return df.drop("text")
+
+
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every document."""
+    return simhash.near_duplicates(documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_media": op1_media}
+    return {"op1_media": op1_media, "op8_bpe": op8_bpe, "op9_simhash": op9_simhash}
 
 
 def oracle_sql() -> dict[str, str]:
