@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, media, simhash
-from .common import documents
+from . import bpe, langid, media, pii, simhash
+from .common import documents, table
 
 #: The vocabulary files of public tokenizers; their folder is a parameter of the operators.
 RANKS = "byte_bpe_50k.tiktoken"
@@ -19,6 +20,19 @@ def op1_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_features(stored).drop("media")
 
 
+def op4_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every text, learned from the documents that are not held out."""
+    held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
+    rows = table(spark, sf_dir, "documents")
+    model = langid.fit(langid.sample(rows.filter(~held)))
+    return langid.identify(rows.select("doc_id", held.alias("held_out"), "text"), model).drop("text")
+
+
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every text."""
+    return pii.personal_data(documents(spark, sf_dir)).drop("text")
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every text and what they decode to, as digests."""
     import public_tokenizers
@@ -33,7 +47,7 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_media": op1_media, "op8_bpe": op8_bpe, "op9_simhash": op9_simhash}
+    return {"op1_media": op1_media, "op4_langid": op4_langid, "op7_pii": op7_pii, "op8_bpe": op8_bpe, "op9_simhash": op9_simhash}
 
 
 def oracle_sql() -> dict[str, str]:
