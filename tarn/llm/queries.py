@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, langid, media, pii, simhash, warc
+from . import bpe, chat, langid, media, pii, quality, simhash, warc
 from .common import documents, table
 
 #: The vocabulary files of public tokenizers; their folder is a parameter of the operators.
@@ -20,6 +20,12 @@ def op1_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_features(stored).drop("media")
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base counts, likelihood-ratio score and verdict of every document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return quality.judge(docs, table(spark, sf_dir, "labels")).drop("text")
+
+
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page archived, indexed, and read back through the index."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
@@ -62,7 +68,7 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_media": op1_media, "op3_warc": op3_warc, "op4_langid": op4_langid, "op6_chat": op6_chat, "op7_pii": op7_pii, "op8_bpe": op8_bpe, "op9_simhash": op9_simhash}
+    return {"op1_media": op1_media, "op2_quality": op2_quality, "op3_warc": op3_warc, "op4_langid": op4_langid, "op6_chat": op6_chat, "op7_pii": op7_pii, "op8_bpe": op8_bpe, "op9_simhash": op9_simhash}
 
 
 #: What op3_warc returns, from the pages alone.
