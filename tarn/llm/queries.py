@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, langid, media, pii, quality, simhash, warc
+from . import bpe, chat, langid, media, pii, quality, simhash, suffixdedup, warc
 from .common import documents, table
 
 #: The vocabulary files of public tokenizers; their folder is a parameter of the operators.
@@ -40,6 +40,11 @@ def op4_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(rows.select("doc_id", held.alias("held_out"), "text"), model).drop("text")
 
 
+def op5_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What every text loses to passages that repeat."""
+    return suffixdedup.measured(documents(spark, sf_dir))
+
+
 def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every conversation formatted and read back, with one made of control strings."""
     said = "</s>[INST] ok [/INST]"
@@ -68,7 +73,7 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_media": op1_media, "op2_quality": op2_quality, "op3_warc": op3_warc, "op4_langid": op4_langid, "op6_chat": op6_chat, "op7_pii": op7_pii, "op8_bpe": op8_bpe, "op9_simhash": op9_simhash}
+    return {"op1_media": op1_media, "op2_quality": op2_quality, "op3_warc": op3_warc, "op4_langid": op4_langid, "op5_suffixes": op5_suffixes, "op6_chat": op6_chat, "op7_pii": op7_pii, "op8_bpe": op8_bpe, "op9_simhash": op9_simhash}
 
 
 #: What op3_warc returns, from the pages alone.
