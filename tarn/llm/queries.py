@@ -7,11 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, langid, media, pii, quality, simhash, suffixdedup, warc
+from . import bpe, chat, langid, media, packing, pii, quality, simhash, suffixdedup, warc
 from .common import documents, table
 
 #: The vocabulary files of public tokenizers; their folder is a parameter of the operators.
 RANKS = "byte_bpe_50k.tiktoken"
+MODEL = "byte_bpe_50k.json"
 
 
 def op1_media(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,8 +73,15 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir))
 
 
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document encoded, cut and packed."""
+    import public_tokenizers
+
+    return packing.pack(documents(spark, sf_dir), public_tokenizers.path(MODEL), public_tokenizers.PATTERN)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_media": op1_media, "op2_quality": op2_quality, "op3_warc": op3_warc, "op4_langid": op4_langid, "op5_suffixes": op5_suffixes, "op6_chat": op6_chat, "op7_pii": op7_pii, "op8_bpe": op8_bpe, "op9_simhash": op9_simhash}
+    return {"op1_media": op1_media, "op2_quality": op2_quality, "op3_warc": op3_warc, "op4_langid": op4_langid, "op5_suffixes": op5_suffixes, "op6_chat": op6_chat, "op7_pii": op7_pii, "op8_bpe": op8_bpe, "op9_simhash": op9_simhash, "op10_packing": op10_packing}
 
 
 #: What op3_warc returns, from the pages alone.

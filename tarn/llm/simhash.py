@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import add_columns, delete, release, stored
+from .common import add_columns, delete, release, stored, text_key
 
 BITS = 4
 SHINGLE = 4
@@ -177,17 +177,39 @@ def components(edges: DataFrame) -> DataFrame:
         was = sums
 
 
-def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", bits: int = BITS, shingle: int = SHINGLE) -> DataFrame:
-    """One row (doc_id, fingerprint, component_id) for each row of df."""
+def _placed(df: DataFrame, bits: int, shingle: int) -> tuple[DataFrame, DataFrame]:
+    """Stored rows (doc_id, key_id, key_text, fp) of df (doc_id, text), and stored (fp, component_id, stays).
+
+    ``stays`` is the key of the component's row with the least id, null ids last.
+    """
     spark = df.sparkSession
-    marked, _ = stored(with_fingerprint(df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), "text", "fp", shingle).drop("text"), "simhash")
-    nodes, nodes_path = stored(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
+    keyed = df.select("doc_id", *text_key(), "text")
+    marked, _ = stored(with_fingerprint(keyed, "text", "fp", shingle).drop("text"), "simhash")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "key_id", "key_text"))
+    nodes, nodes_path = stored(marked.groupBy("fp").agg(F.min("doc_id").alias("least"), first.alias("first")), "nodes")
     roots = components(link_forest(nodes.select("fp"), nodes.count(), bits))
-    placed = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    placed = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "least", "first", F.coalesce("root", "fp").alias("root"))
     placed, placed_path = stored(placed, "placed")
     delete(spark, nodes_path)
-    smallest = placed.groupBy("root").agg(F.min("least").alias("component_id"))
-    named, _ = stored(placed.join(smallest, "root").select("fp", "component_id"), "named")
+    smallest = placed.groupBy("root").agg(F.min("least").alias("component_id"), F.min("first").alias("stays"))
+    named, _ = stored(placed.join(smallest, "root").select("fp", "component_id", "stays"), "named")
     delete(spark, placed_path)
     release(spark)
-    return marked.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    return marked, named
+
+
+def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", bits: int = BITS, shingle: int = SHINGLE) -> DataFrame:
+    """One row (doc_id, fingerprint, component_id) for each row of df."""
+    marked, named = _placed(df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), bits, shingle)
+    return marked.select("doc_id", "fp").join(named.select("fp", "component_id"), "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def without_near_duplicates(df: DataFrame, bits: int = BITS, shingle: int = SHINGLE) -> DataFrame:
+    """df (doc_id, text and any others) with one row of each component: that of the least id."""
+    own = [c for c in df.columns if c.lower() not in ("key_id", "key_text")]
+    df = df.select(*[df[f"`{c}`"] for c in own])
+    _, named = _placed(df.select("doc_id", "text"), bits, shingle)
+    stays = named.select("stays.key_id", "stays.key_text").distinct()
+    # Whole rows that repeat fall together before the shuffle; the join then needs none.
+    once = df.select("*", *text_key()).dropDuplicates(["key_id", "key_text"])
+    return once.join(stays, ["key_id", "key_text"], "left_semi").select(*own)
