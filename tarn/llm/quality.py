@@ -30,7 +30,11 @@ WORD = r"[^\x20\x09-\x0D]"
 
 
 def let(value: Column, use) -> Column:
-    """use(value) with the value computed once for each row, inside one expression."""
+    """use(value) with the value computed once for each row, inside one expression.
+
+    A plain column will not do: the optimizer may put its definition back into a
+    lambda, which then computes it once for each element.
+    """
     return F.element_at(F.transform(F.array(value), use), 1)
 
 
@@ -116,7 +120,7 @@ def rules(docs: DataFrame, ratio: Column, threshold: float = THRESHOLD) -> DataF
         total = F.aggregate(b, F.lit(0.0), lambda a, x: a + table[x])
         return F.when(F.size(b) > 0, total / F.size(b)).otherwise(F.lit(0.0))
 
-    scored = made.select(*kept, *base_counts(F.col("text")), repeated(F.col("hash_")).alias("n_repeat_words"), let(buckets(F.col("hash_")), lambda b: mean(b, ratio)).alias("score"))
+    scored = made.select(*kept, *base_counts(F.col("text")), let(F.col("hash_"), repeated).alias("n_repeat_words"), let(F.col("hash_"), lambda h: let(buckets(h), lambda b: mean(b, ratio))).alias("score"))
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     return scored.withColumn("base_failed", failed).withColumn("kept", ~failed & (F.col("score") >= threshold))
 
