@@ -13,7 +13,9 @@ into the next, so an entry is rewritten a logarithmic number of times. Scanning
 documents against the levels gives each stretch one of three fates: its anchor
 occurs once (no window of it repeats), the whole stretch occurs twice (all do),
 or the anchor occurs in different stretches. Only for the last are single
-windows compared, with one representative of each stretch that occurs twice.
+windows compared, with one representative of each stretch that occurs twice: the
+bytes of stretches with one anchor meet in one task if there are at most GROUP
+kinds of them, and for more the windows are dealt out by fingerprint.
 
 Defined cases: a null text is empty; texts under LENGTH bytes lose nothing; a
 repeated row is another occurrence of its text, so long texts that occur twice
@@ -37,6 +39,8 @@ from .common import add_columns, delete, release, rows_of, stored, text_key
 LENGTH = 200
 SEED = 32
 CHUNK = 1 << 21
+#: Kinds of stretches with one anchor that one task compares.
+GROUP = 4096
 #: Batches that a one-off query deals its table into.
 BATCHES = 2
 _P = 0x9E3779B97F4A7C15 | 1
@@ -98,33 +102,32 @@ def _least(x: np.ndarray, w: int) -> np.ndarray:
 
 
 def stretches(data: np.ndarray, length: int = LENGTH, seed: int = SEED) -> tuple[np.ndarray, ...]:
-    """(anchor, stretch, start, windows) of every stretch of windows that share an anchor."""
+    """(anchor, stretch, place) of every stretch of windows that share an anchor.
+
+    A place is start << 16 | (anchor's position - start) << 8 | windows - 1.
+    """
     found = []
     for lo in range(0, max(0, len(data) - length + 1), CHUNK):
         part = data[lo : lo + CHUNK + length - 1]
         rolling = Rolling(part)
         grams = rolling.all(seed)
-        place = np.arange(len(grams), dtype=np.uint64)
-        at = (_least((grams & ~_LOW) | place, length - seed + 1) & _LOW).astype(np.int64)
+        order = np.arange(len(grams), dtype=np.uint64)
+        at = (_least((grams & ~_LOW) | order, length - seed + 1) & _LOW).astype(np.int64)
         start = np.concatenate([[0], np.flatnonzero(at[1:] != at[:-1]) + 1])
         size = np.diff(np.append(start, len(at)))
-        anchor = grams[at[start]]
+        shape = (at[start] - start) << 8 | (size - 1)
         text = rolling.hash(start, start + size + length - 1)
-        shape = ((at[start] - start) << 20 | size).astype(np.uint64)
-        found.append((anchor, _mix(text ^ _mix(shape)), start + lo, size))
+        found.append((grams[at[start]], _mix(text ^ _mix(shape.astype(np.uint64))), (start + lo) << 16 | shape))
     if not found:
-        return np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    return tuple(np.concatenate([f[i] for f in found]) for i in range(4))
+        return np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    return tuple(np.concatenate([f[i] for f in found]) for i in range(3))
 
 
-def windows(data: np.ndarray, length: int = LENGTH, seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
-    """Two fingerprints (of anchor and place, and of bytes) of every window of a stretch's text."""
-    rolling = Rolling(data)
-    grams = rolling.all(seed)
-    place = np.arange(len(grams), dtype=np.uint64)
-    at = (_least((grams & ~_LOW) | place, length - seed + 1) & _LOW).astype(np.int64)
-    start = np.arange(len(at))
-    return _mix(grams[at] + (at - start).astype(np.uint64) * np.uint64(_P)), rolling.all(length)
+def windows(data: np.ndarray, anchor: int, shift: int, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
+    """Two fingerprints (of anchor and distance to it, and of bytes) of every window of a stretch's bytes."""
+    y = Rolling(data).all(length)
+    apart = (shift - np.arange(len(y))).astype(np.uint64)
+    return _mix(np.uint64(anchor & 0xFFFFFFFFFFFFFFFF) + apart * np.uint64(_P)), y
 
 
 def _bytes(text: str | None) -> np.ndarray:
@@ -147,7 +150,7 @@ def entries(texts: DataFrame, length: int, seed: int) -> DataFrame:
     return texts.mapInArrow(run, "anchor long, stretch long")
 
 
-PLACES = "key_id long, key_text long, anchor long, stretch long, start long, size long"
+PLACES = "key_id long, key_text long, anchor long, stretch long, place long"
 
 
 def places(keyed: DataFrame, length: int, seed: int) -> DataFrame:
@@ -159,7 +162,7 @@ def places(keyed: DataFrame, length: int, seed: int) -> DataFrame:
             found = [stretches(_bytes(t), length, seed) for t in batch.column(2).to_pylist()]
             count = np.array([len(f[0]) for f in found], np.int64)
             keys = [pa.array(np.repeat(batch.column(i).to_numpy(zero_copy_only=False), count)) for i in (0, 1)]
-            arrays = [*keys, *(_signed([f[i] for f in found]) for i in range(4))]
+            arrays = [*keys, *(_signed([f[i] for f in found]) for i in range(3))]
             yield pa.RecordBatch.from_arrays(arrays, schema=schema)
 
     return keyed.select("key_id", "key_text", "text").mapInArrow(run, PLACES)
@@ -198,10 +201,10 @@ class SuffixIndex:
         return rows.groupBy("anchor", "stretch").agg(F.sum("n").alias("n")) if len(self.arrays) > 1 else rows
 
     def scan(self, keyed: DataFrame) -> DataFrame:
-        """Stretches of keyed texts whose anchor occurs twice in the levels: place, ``whole`` (the stretch occurs twice), ``mixed`` (the anchor has other stretches)."""
+        """Stretches of keyed texts whose anchor occurs twice in the levels: ``place``, ``whole`` (the stretch occurs twice), and ``kinds``, how many different stretches the anchor has."""
         rows = self.entries()
         anchors = rows.groupBy("anchor").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("kinds")).filter("total >= 2").select("anchor", "kinds")
-        fate = rows.join(anchors, "anchor").select("anchor", "stretch", (F.col("n") >= 2).alias("whole"), (F.col("kinds") >= 2).alias("mixed"))
+        fate = rows.join(anchors, "anchor").select("anchor", "stretch", (F.col("n") >= 2).alias("whole"), "kinds")
         return places(keyed, self.length, self.seed).join(fate, ["anchor", "stretch"])
 
     def drop(self) -> None:
@@ -210,28 +213,78 @@ class SuffixIndex:
         self.arrays = []
 
 
-def _window_rows(joined: DataFrame, length: int, seed: int) -> DataFrame:
-    """(x, y, owner) of every window of the listed stretches; owner is a stretch's number * 256 + offset."""
-    schema = pa.schema([("x", pa.int64()), ("y", pa.int64()), ("owner", pa.int64())])
+ASKED = pa.schema([("x", pa.int64()), ("y", pa.int64()), ("owner", pa.int64()), ("shift", pa.int32()), ("part", pa.binary())])
+
+
+def _asked_rows(joined: DataFrame, length: int, group: int) -> DataFrame:
+    """Rows of the listed stretches of each text: one with the stretch's bytes where its anchor has at most ``group`` kinds, else one (x, y, owner) for each window.
+
+    An owner is a stretch's number * 256 + offset of the window.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows_of(batches):
             for at in range(0, batch.num_rows, 16):
                 some = batch.slice(at, 16)
-                xs, ys, owners = [], [], []
+                xs, ys, owners, shifts, parts = [], [], [], [], []
                 for text, listed in zip(some.column(0).to_pylist(), some.column(1).to_pylist(), strict=True):
                     data = _bytes(text)
                     for s in listed:
-                        x, y = windows(data[s["start"] : s["start"] + s["size"] + length - 1], length, seed)
+                        start, shift, size = s["place"] >> 16, s["place"] >> 8 & 255, (s["place"] & 255) + 1
+                        part = data[start : start + size + length - 1]
+                        if s["kinds"] <= group:
+                            x, y, n, raw = np.array([s["anchor"]]).view(np.uint64), np.zeros(1, np.uint64), 1, part.tobytes()
+                        else:
+                            (x, y), n, raw = windows(part, s["anchor"], shift, length), size, None
                         xs.append(x)
                         ys.append(y)
-                        owners.append((np.arange(len(x)) + s["number"] * 256).astype(np.uint64))
-                yield pa.RecordBatch.from_arrays([_signed(xs), _signed(ys), _signed(owners)], schema=schema)
-
-    return joined.mapInArrow(run, "x long, y long, owner long")
-
+                        owners.append((np.arange(n) + s["number"] * 256).astype(np.uint64))
+                        shifts += [shift] * n
+                        parts += [raw] * n
+                yield pa.RecordBatch.from_arrays([_signed(xs), _signed(ys), _signed(owners), pa.array(shifts, pa.int32()), pa.array(parts, pa.binary())], schema=ASKED)
+
+    return joined.mapInArrow(run, "x long, y long, owner long, shift int, part binary")
+
+
+def _compared(rows: DataFrame, length: int) -> DataFrame:
+    """(number, offset) of windows that occur twice among the bytes of stretches (x: anchor), dealt by anchor."""
+    schema = pa.schema([("number", pa.int64()), ("offset", pa.int64())])
+
+    def found(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        xs, ys, owners = [], [], []
+        for batch in held:
+            for anchor, owner, shift, part in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                x, y = windows(np.frombuffer(part, np.uint8), anchor, shift, length)
+                xs.append(x)
+                ys.append(y)
+                owners.append(np.arange(len(x)) + owner)
+        x, y, owner = (np.concatenate(v) for v in (xs, ys, owners))
+        order = np.lexsort((y, x))
+        same = (x[order][1:] == x[order][:-1]) & (y[order][1:] == y[order][:-1])
+        twice = np.zeros(len(x), bool)
+        twice[order[1:][same]] = twice[order[:-1][same]] = True
+        return pa.RecordBatch.from_arrays([pa.array(owner[twice] >> 8), pa.array(owner[twice] & 255)], schema=schema)
 
-def repeated_ranges(keyed: DataFrame, length: int = LENGTH, seed: int = SEED, batches: int = BATCHES) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in rows_of(batches):
+            anchor = batch.column(0).to_numpy(zero_copy_only=False)
+            # Stretches up to the last change of anchor are complete groups.
+            cut = np.flatnonzero(anchor != anchor[-1])
+            cut = int(cut[-1]) + 1 if len(cut) else 0
+            if cut or (held and held[-1].column(0)[-1].as_py() != anchor[0]):
+                if cut:
+                    held.append(batch.slice(0, cut))
+                yield found(held)
+                held = []
+            held.append(batch.slice(cut))
+        if held:
+            yield found(held)
+
+    return rows.repartition("x").sortWithinPartitions("x").select("x", "owner", "shift", "part").mapInArrow(run, "number long, offset long")
+
+
+def repeated_ranges(keyed: DataFrame, length: int = LENGTH, seed: int = SEED, batches: int = BATCHES, group: int = GROUP) -> DataFrame:
     """(key_id, key_text, ranges): byte ranges, overlapping and in any order, that repeat; keyed has key_id, key_text and text."""
     if length - seed + 1 > 256:
         raise ValueError("a stretch has at most 256 windows")
@@ -244,18 +297,21 @@ def repeated_ranges(keyed: DataFrame, length: int = LENGTH, seed: int = SEED, ba
     release(spark)
 
     # Stretches whose windows must be compared one by one.
-    alone = hits.filter("mixed and not whole").select("key_id", "key_text", "start", "size")
-    one = hits.filter("mixed and whole").groupBy("anchor", "stretch").agg(F.min(F.struct("key_id", "key_text", "start", "size")).alias("s")).select("s.*")
+    mixed, parts = hits.filter("kinds >= 2"), ["key_id", "key_text", "place", "anchor", "kinds"]
+    alone = mixed.filter("not whole").select(*parts)
+    one = mixed.filter("whole").groupBy("anchor", "stretch").agg(F.min(F.struct(*parts)).alias("s")).select("s.*")
     asked, asked_path = stored(alone.union(one).distinct().withColumn("number", F.monotonically_increasing_id()), "asked")
-    listed = asked.groupBy("key_id", "key_text").agg(F.collect_list(F.struct("number", "start", "size")).alias("listed"))
-    # One row of each key is enough here: repeated rows are whole already.
-    rows, rows_path = stored(_window_rows(keyed.join(listed, ["key_id", "key_text"]).select("text", "listed"), length, seed), "windows")
+    listed = asked.groupBy("key_id", "key_text").agg(F.collect_list(F.struct("number", "place", "anchor", "kinds")).alias("listed"))
+    rows, rows_path = stored(_asked_rows(keyed.join(listed, ["key_id", "key_text"]).select("text", "listed"), length, group), "asked-rows")
     release(spark)
-    twice = rows.groupBy("x", "y").agg(F.count(F.lit(1)).alias("n")).filter("n >= 2").select("x", "y")
-    same = rows.join(twice, ["x", "y"]).select(F.shiftright("owner", 8).alias("number"), F.col("owner").bitwiseAND(F.lit(255)).alias("offset"))
-    offsets = same.groupBy("number").agg(F.sort_array(F.collect_set("offset")).alias("offsets"))
-    single = offsets.join(asked, "number").select("key_id", "key_text", F.explode("offsets").alias("offset"), "start").select("key_id", "key_text", (F.col("start") + F.col("offset")).alias("lo"), F.lit(1).cast("long").alias("size"))
-    whole = hits.filter("whole").select("key_id", "key_text", F.col("start").alias("lo"), "size")
+    few = _compared(rows.filter("part is not null"), length)
+    many = rows.filter("part is null")
+    twice = many.groupBy("x", "y").agg(F.count(F.lit(1)).alias("n")).filter("n >= 2").select("x", "y")
+    dealt = many.join(twice, ["x", "y"]).select(F.shiftright("owner", 8).alias("number"), F.col("owner").bitwiseAND(F.lit(255)).alias("offset"))
+    offsets = few.union(dealt).groupBy("number").agg(F.sort_array(F.collect_set("offset")).alias("offsets"))
+    begin, size = F.shiftright("place", 16), F.col("place").bitwiseAND(F.lit(255)) + 1
+    single = offsets.join(asked, "number").select("key_id", "key_text", F.explode("offsets").alias("offset"), begin.alias("start")).select("key_id", "key_text", (F.col("start") + F.col("offset")).alias("lo"), F.lit(1).cast("long").alias("size"))
+    whole = hits.filter("whole").select("key_id", "key_text", begin.alias("lo"), size.alias("size"))
     ranges = single.union(whole).distinct().groupBy("key_id", "key_text").agg(F.collect_list(F.struct("lo", (F.col("lo") + F.col("size") + F.lit(length - 1)).alias("hi"))).alias("ranges"))
     done, _ = stored(ranges, "ranges")
     for path in (hits_path, asked_path, rows_path):
