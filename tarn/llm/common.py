@@ -12,8 +12,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Rows of one output batch; input batches are bounded in bytes by Spark.
+#: Rows of one output batch.
 SLICE_ROWS = 512
+#: Bytes of one input batch, unless the session sets fewer.
+BATCH_BYTES = 8 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,11 +30,23 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of at most SLICE_ROWS."""
+    # The system's allocator gives large buffers back at once; Arrow's own keeps them.
+    pa.set_memory_pool(pa.system_memory_pool())
     for batch in batches:
         for at in range(0, batch.num_rows, SLICE_ROWS):
             yield batch.slice(at, SLICE_ROWS)
 
 
+def arrow_map(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | T.StructType) -> DataFrame:
+    """df.mapInArrow with the session's Arrow batches bounded to BATCH_BYTES."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    spark = df.sparkSession
+    now = spark.conf.get(key).lower().removesuffix("b")
+    if not now.isdigit() or not 0 < int(now) <= BATCH_BYTES:
+        spark.conf.set(key, f"{BATCH_BYTES}b")
+    return df.mapInArrow(run, schema)
+
+
 def add_columns(
     df: DataFrame, column: str, fields: list[T.StructField], make: Callable[[list], list[list]]
 ) -> DataFrame:
@@ -57,7 +71,7 @@ def add_columns(
             arrays = [pa.array(v, type=f.type) for v, f in zip(made, target, strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns, *arrays], names=[*batch.schema.names, *target.names])
 
-    return kept.mapInArrow(run, schema)
+    return arrow_map(kept, run, schema)
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import rows_of, stored
+from .common import arrow_map, rows_of, stored
 
 CAPACITY = 2048
 END = 0
@@ -135,7 +135,7 @@ def pieces(docs: DataFrame, path: str, pattern: str, capacity: int = CAPACITY, e
                     rows.append((doc_id, i, lo, n, zlib.crc32(ids[4 * lo : 4 * (lo + n)])))
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), PIECE, strict=True)] if rows else [pa.array([], f.type) for f in PIECE], schema=PIECE)
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return arrow_map(docs.select("doc_id", "text"), run, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 def best_fit(counts: np.ndarray, capacity: int = CAPACITY) -> np.ndarray:
@@ -200,7 +200,7 @@ def packed(cuts: DataFrame, capacity: int = CAPACITY) -> DataFrame:
             sequence = plan[at, 2] + rank - plan[at, 0]
             yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(sequence), pa.array(plan[at, 3])], schema=schema)
 
-    return numbered.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    return arrow_map(numbered, run, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
 
 
 def pack(docs: DataFrame, path: str, pattern: str, capacity: int = CAPACITY, end: int = END) -> DataFrame:

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import add_columns, rows_of
+from .common import add_columns, arrow_map, rows_of
 
 KINDS = ("email", "ip", "card", "phone", "secret")
 BASE = KINDS[:4]
@@ -183,7 +183,7 @@ def pattern_counts(df: DataFrame, text: str = "text") -> dict[str, int]:
                     seen.update(pattern(t, *s, strict) for s in spans)
         yield pa.RecordBatch.from_pydict({"pattern": pa.array(list(seen), pa.string()), "n": pa.array(list(seen.values()), pa.int64())})
 
-    counted = df.select(text).mapInArrow(run, "pattern string, n long").groupBy("pattern").agg(F.sum("n").alias("n"))
+    counted = arrow_map(df.select(text), run, "pattern string, n long").groupBy("pattern").agg(F.sum("n").alias("n"))
     return {r.pattern: r.n for r in counted.collect()}
 
 

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import add_columns, delete, release, stored, text_key
+from .common import add_columns, arrow_map, delete, release, stored, text_key
 
 BITS = 4
 SHINGLE = 4
@@ -149,7 +149,7 @@ def link_forest(fps: DataFrame, n: int, bits: int = BITS) -> DataFrame:
         F.explode(F.array(*[F.struct(F.lit(i).alias("choice"), F.col(name).alias("fp"), F.col(name).bitwiseAND(F.lit(m)).alias("key")) for i, m in enumerate(signed)])).alias("k")
     ).select("k.choice", "k.fp", "k.key")
     dealt = keyed.repartition("choice", "key").sortWithinPartitions("choice", "key", "fp").select("choice", "fp")
-    return dealt.mapInArrow(_links(masks, bits), "a long, b long").distinct()
+    return arrow_map(dealt, _links(masks, bits), "a long, b long").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:

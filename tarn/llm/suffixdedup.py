@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import add_columns, delete, release, rows_of, stored, text_key
+from .common import add_columns, arrow_map, delete, release, rows_of, stored, text_key
 
 LENGTH = 200
 SEED = 32
@@ -147,7 +147,7 @@ def entries(texts: DataFrame, length: int, seed: int) -> DataFrame:
             found = [stretches(_bytes(t), length, seed)[:2] for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([_signed([f[0] for f in found]), _signed([f[1] for f in found])], schema=schema)
 
-    return texts.mapInArrow(run, "anchor long, stretch long")
+    return arrow_map(texts, run, "anchor long, stretch long")
 
 
 PLACES = "key_id long, key_text long, anchor long, stretch long, place long"
@@ -165,7 +165,7 @@ def places(keyed: DataFrame, length: int, seed: int) -> DataFrame:
             arrays = [*keys, *(_signed([f[i] for f in found]) for i in range(3))]
             yield pa.RecordBatch.from_arrays(arrays, schema=schema)
 
-    return keyed.select("key_id", "key_text", "text").mapInArrow(run, PLACES)
+    return arrow_map(keyed.select("key_id", "key_text", "text"), run, PLACES)
 
 
 class SuffixIndex:
@@ -243,7 +243,7 @@ def _asked_rows(joined: DataFrame, length: int, group: int) -> DataFrame:
                         parts += [raw] * n
                 yield pa.RecordBatch.from_arrays([_signed(xs), _signed(ys), _signed(owners), pa.array(shifts, pa.int32()), pa.array(parts, pa.binary())], schema=ASKED)
 
-    return joined.mapInArrow(run, "x long, y long, owner long, shift int, part binary")
+    return arrow_map(joined, run, "x long, y long, owner long, shift int, part binary")
 
 
 def _compared(rows: DataFrame, length: int) -> DataFrame:
@@ -281,7 +281,7 @@ def _compared(rows: DataFrame, length: int) -> DataFrame:
         if held:
             yield found(held)
 
-    return rows.repartition("x").sortWithinPartitions("x").select("x", "owner", "shift", "part").mapInArrow(run, "number long, offset long")
+    return arrow_map(rows.repartition("x").sortWithinPartitions("x").select("x", "owner", "shift", "part"), run, "number long, offset long")
 
 
 def repeated_ranges(keyed: DataFrame, length: int = LENGTH, seed: int = SEED, batches: int = BATCHES, group: int = GROUP) -> DataFrame:

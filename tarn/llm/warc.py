@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import rows_of, scratch, stored
+from .common import arrow_map, rows_of, scratch, stored
 
 LEAST = 1000
 LINES = 500
@@ -163,7 +163,7 @@ def write_archives(pages: DataFrame, folder: str) -> DataFrame:
             if out is not None:
                 out.close()
 
-    return stored(decided.mapInArrow(run, CAPTURE), "captures")[0]
+    return stored(arrow_map(decided, run, CAPTURE), "captures")[0]
 
 
 def write_index(captures: DataFrame, folder: str) -> DataFrame:
@@ -202,7 +202,7 @@ def write_index(captures: DataFrame, folder: str) -> DataFrame:
 
     order = ("urlkey", "file", "offset")
     ranged = captures.repartitionByRange(*order).sortWithinPartitions(*order)
-    return stored(ranged.mapInArrow(run, BLOCK), "directory")[0]
+    return stored(arrow_map(ranged, run, BLOCK), "directory")[0]
 
 
 def look_up(urls: DataFrame, directory: DataFrame, folder: str, url: str = "url") -> DataFrame:
@@ -215,7 +215,7 @@ def look_up(urls: DataFrame, directory: DataFrame, folder: str, url: str = "url"
             found = list(dict.fromkeys(map(url_key, batch.column(0).to_pylist())))
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.string())], names=["urlkey"])
 
-    wanted = urls.select(url).mapInArrow(keys, "urlkey string").distinct().repartitionByRange("urlkey").sortWithinPartitions("urlkey")
+    wanted = arrow_map(urls.select(url), keys, "urlkey string").distinct().repartitionByRange("urlkey").sortWithinPartitions("urlkey")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import pyarrow.dataset as ds
@@ -247,7 +247,7 @@ def look_up(urls: DataFrame, directory: DataFrame, folder: str, url: str = "url"
         finally:
             ranges.close()
 
-    return stored(wanted.mapInArrow(run, CAPTURE), "found")[0]
+    return stored(arrow_map(wanted, run, CAPTURE), "found")[0]
 
 
 RECORD = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string"
@@ -272,7 +272,7 @@ def read_records(captures: DataFrame, folder: str, payload: bool = False) -> Dat
         finally:
             ranges.close()
 
-    return ranged.mapInArrow(run, RECORD + (", payload binary" if payload else ""))
+    return arrow_map(ranged, run, RECORD + (", payload binary" if payload else ""))
 
 
 def archive_and_read(pages: DataFrame) -> DataFrame:
