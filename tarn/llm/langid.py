@@ -114,7 +114,8 @@ def fit(samples: dict[str, list[str]]) -> Model:
 def sample(df: DataFrame, per_language: int = PER_LANGUAGE, text: str = "text", lang: str = "lang") -> dict[str, list[str]]:
     """At most per_language different texts of each language, those of least hash."""
     rows = df.select(F.col(lang).alias("lang"), F.col(text).alias("text")).filter("lang is not null and text is not null")
-    counts = {r.lang: r["count"] for r in rows.groupBy("lang").count().collect()}
+    # Different texts count, so that copies of one text do not crowd out the rest.
+    counts = {r.lang: max(1, r.n) for r in rows.groupBy("lang").agg(F.approx_count_distinct(F.xxhash64("text"), 0.02).alias("n")).collect()}
     if not counts:
         return {}
     share = F.create_map(*[x for k, n in counts.items() for x in (F.lit(k), F.lit(min(1.0, (2 * per_language + 50) / n)))])

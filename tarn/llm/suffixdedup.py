@@ -40,7 +40,7 @@ LENGTH = 200
 SEED = 32
 CHUNK = 1 << 21
 #: Kinds of stretches with one anchor that one task compares.
-GROUP = 4096
+GROUP = 512
 #: Batches that a one-off query deals its table into.
 BATCHES = 2
 _P = 0x9E3779B97F4A7C15 | 1
