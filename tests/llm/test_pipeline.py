@@ -1,0 +1,87 @@
+import hashlib
+import random
+import zlib
+
+import corpus_pipeline
+import numpy as np
+import pytest
+
+from tarn.llm import common, packing, pii, simhash
+
+P = pytest.importorskip("public_tokenizers")
+
+
+def corpus():
+    rng = random.Random(11)
+    word = lambda k: "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(2, 9))) + k
+    text = lambda n: " ".join(word("") for _ in range(n))
+    passage = text(60)
+    rows = [(i, text(rng.choice((70, 120, 400)))) for i in range(40)]
+    base = text(7000)
+    rows += [(50, base), (51, base), (52, base.replace(base.split()[100], "changed", 1)), (51, base)]
+    rows += [(60 + i, text(80) + " " + passage + " " + text(80)) for i in range(4)]
+    rows += [(70, text(60) + " joe@example.com " + text(10)), (71, "short"), (72, None), (73, ""), (74, "again and again " * 60)]
+    rows += [(80 + i, " ".join(word("***") for _ in range(100))) for i in range(6)]
+    return rows
+
+
+def columns(rows):
+    return [(i, t, "en", "src", None if t is None else len(t)) for i, t in rows]
+
+
+@pytest.fixture
+def folder(spark, tmp_path):
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    spark.createDataFrame(columns(corpus()), schema).repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(i, 1, 0) for i in [*range(40), 50, 51, 52, 60, 61, 62, 63, 70]], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    return str(tmp_path)
+
+
+def test_stages_against_brute_force(spark, folder):
+    docs, seen = common.table(spark, folder, "documents"), {}
+    for name, stage in corpus_pipeline.STAGES:
+        assert name == "quality_rules" or docs.columns == ["doc_id", "text", "lang", "source", "n_chars"]
+        docs, _ = common.stored(stage(spark, docs, folder), "test")
+        seen[name] = docs.collect()
+    kept = {r.doc_id: r.text for r in seen["quality_rules"]}
+    assert set(range(40)) | {50, 51, 52, 60, 61, 62, 63, 70} <= set(kept) and not set(kept) & {71, 72, 73, 74}
+    # One of each group of near copies, that of the least id.
+    fps = [(d, simhash.fingerprint(t) % 2**64) for d, t in sorted(kept.items())]
+    alone = sorted(d for i, (d, f) in enumerate(fps) if not any((f ^ g).bit_count() <= 4 for _, g in fps[:i]))
+    assert sorted(r.doc_id for r in seen["near_dedup"]) == alone and 51 not in alone
+    from collections import Counter
+
+    data = {r.doc_id: r.text.encode() for r in seen["near_dedup"]}
+    count = Counter(b[i : i + 200] for b in data.values() for i in range(len(b) - 199))
+    for r in seen["repeat_removal"]:
+        b, gone = data[r.doc_id], np.zeros(len(data[r.doc_id]), bool)
+        for i in range(len(b) - 199):
+            if count[b[i : i + 200]] > 1:
+                gone[i : i + 200] = True
+        assert r.text.encode() == bytes(x for x, g in zip(b, gone, strict=True) if not g) and r.n_chars == len(r.text)
+    before = {r.doc_id: r.text for r in seen["repeat_removal"]}
+    for r in seen["personal_data"]:
+        assert not pii.base_spans(r.text)
+        assert r.text == before[r.doc_id] or r.doc_id == 70
+    texts = {r.doc_id: r.text for r in seen["personal_data"]}
+    assert "<EMAIL>" in texts[70]
+    own = packing.Encoder(P.path("byte_bpe_50k.json"), P.PATTERN)
+    want = set()
+    for d, t in texts.items():
+        ids = own.encode([t])[0] + bytes(4)
+        want |= {(d, i, lo, n, zlib.crc32(ids[4 * lo : 4 * (lo + n)])) for i, (lo, n) in enumerate(packing.cut(len(ids) // 4))}
+    assert {tuple(r)[:5] for r in seen["packing"]} == want
+    assert hashlib.sha256(repr(sorted(want)).encode()).hexdigest()
+
+
+def test_run_equals_its_stages(spark, folder):
+    rows = corpus_pipeline.run(spark, folder).collect()
+    assert len({(r.doc_id, r.piece) for r in rows}) == len(rows) > 0
+    assert corpus_pipeline.ORACLE_SQL is None and len(corpus_pipeline.STAGES) == 5
+
+
+def test_empty_table(spark, folder, tmp_path):
+    empty = str(tmp_path / "none")
+    for t in ("documents", "labels"):
+        common.table(spark, folder, t).limit(0).write.parquet(f"{empty}/{t}.parquet")
+    assert corpus_pipeline.run(spark, empty).count() == 0
