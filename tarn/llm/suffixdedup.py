@@ -40,7 +40,7 @@ LENGTH = 200
 SEED = 32
 CHUNK = 1 << 21
 #: Kinds of stretches with one anchor that one task compares.
-GROUP = 512
+GROUP = 4096
 #: Batches that a one-off query deals its table into.
 BATCHES = 2
 _P = 0x9E3779B97F4A7C15 | 1
@@ -247,8 +247,8 @@ def _asked_rows(joined: DataFrame, length: int, group: int) -> DataFrame:
 
 
 def _compared(rows: DataFrame, length: int) -> DataFrame:
-    """(number, offset) of windows that occur twice among the bytes of stretches (x: anchor), dealt by anchor."""
-    schema = pa.schema([("number", pa.int64()), ("offset", pa.int64())])
+    """(number, offset, size): runs of windows that occur twice among the bytes of stretches (x: anchor), dealt by anchor."""
+    schema = pa.schema([("number", pa.int64()), ("offset", pa.int64()), ("size", pa.int64())])
 
     def found(held: list[pa.RecordBatch]) -> pa.RecordBatch:
         xs, ys, owners = [], [], []
@@ -263,7 +263,11 @@ def _compared(rows: DataFrame, length: int) -> DataFrame:
         same = (x[order][1:] == x[order][:-1]) & (y[order][1:] == y[order][:-1])
         twice = np.zeros(len(x), bool)
         twice[order[1:][same]] = twice[order[:-1][same]] = True
-        return pa.RecordBatch.from_arrays([pa.array(owner[twice] >> 8), pa.array(owner[twice] & 255)], schema=schema)
+        # Owners of one stretch follow each other: a run ends where the next owner is no neighbour.
+        owner = owner[twice]
+        first = np.flatnonzero(np.diff(owner, prepend=-9) != 1)
+        size = np.diff(np.append(first, len(owner)))
+        return pa.RecordBatch.from_arrays([pa.array(owner[first] >> 8), pa.array(owner[first] & 255), pa.array(size)], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -281,7 +285,7 @@ def _compared(rows: DataFrame, length: int) -> DataFrame:
         if held:
             yield found(held)
 
-    return arrow_map(rows.repartition("x").sortWithinPartitions("x").select("x", "owner", "shift", "part"), run, "number long, offset long")
+    return arrow_map(rows.repartition("x").sortWithinPartitions("x").select("x", "owner", "shift", "part"), run, "number long, offset long, size long")
 
 
 def repeated_ranges(keyed: DataFrame, length: int = LENGTH, seed: int = SEED, batches: int = BATCHES, group: int = GROUP) -> DataFrame:
@@ -307,12 +311,12 @@ def repeated_ranges(keyed: DataFrame, length: int = LENGTH, seed: int = SEED, ba
     few = _compared(rows.filter("part is not null"), length)
     many = rows.filter("part is null")
     twice = many.groupBy("x", "y").agg(F.count(F.lit(1)).alias("n")).filter("n >= 2").select("x", "y")
-    dealt = many.join(twice, ["x", "y"]).select(F.shiftright("owner", 8).alias("number"), F.col("owner").bitwiseAND(F.lit(255)).alias("offset"))
-    offsets = few.union(dealt).groupBy("number").agg(F.sort_array(F.collect_set("offset")).alias("offsets"))
-    begin, size = F.shiftright("place", 16), F.col("place").bitwiseAND(F.lit(255)) + 1
-    single = offsets.join(asked, "number").select("key_id", "key_text", F.explode("offsets").alias("offset"), begin.alias("start")).select("key_id", "key_text", (F.col("start") + F.col("offset")).alias("lo"), F.lit(1).cast("long").alias("size"))
-    whole = hits.filter("whole").select("key_id", "key_text", begin.alias("lo"), size.alias("size"))
-    ranges = single.union(whole).distinct().groupBy("key_id", "key_text").agg(F.collect_list(F.struct("lo", (F.col("lo") + F.col("size") + F.lit(length - 1)).alias("hi"))).alias("ranges"))
+    dealt = many.join(twice, ["x", "y"]).select(F.shiftright("owner", 8).alias("number"), F.col("owner").bitwiseAND(F.lit(255)).alias("offset"), F.lit(1).cast("long").alias("size"))
+    begin = F.shiftright("place", 16)
+    single = few.union(dealt).join(asked, "number").select("key_id", "key_text", (begin + F.col("offset")).alias("lo"), "size")
+    whole = hits.filter("whole").select("key_id", "key_text", begin.alias("lo"), (F.col("place").bitwiseAND(F.lit(255)) + 1).alias("size"))
+    # A repeated row says the same again: sets hold it once.
+    ranges = single.union(whole).groupBy("key_id", "key_text").agg(F.collect_set(F.struct("lo", (F.col("lo") + F.col("size") + F.lit(length - 1)).alias("hi"))).alias("ranges"))
     done, _ = stored(ranges, "ranges")
     for path in (hits_path, asked_path, rows_path):
         delete(spark, path)
