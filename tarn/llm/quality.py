@@ -4,6 +4,8 @@ Every text gets counts of words, symbols, repeated lines and repeated 3-word
 windows. Its words and word pairs are hashed into BUCKETS; two multinomials over
 the buckets, one of trusted texts and one of the whole raw corpus, give each
 bucket a log-likelihood ratio, and a text's score is the mean over its n-grams.
+The raw count of a bucket is taken less one, since a text that is scored adds to
+the raw corpus but, as a rule, not to the trusted texts.
 A text is kept when no base rule rejects it and the score reaches THRESHOLD, so
 the same text always has the same verdict.
 
@@ -100,7 +102,7 @@ def ratios(docs: DataFrame, labels: DataFrame, trusted: int = TRUSTED) -> DataFr
     full = spark.range(BUCKETS).select(F.col("id").cast("int").alias("bucket")).join(counts, "bucket", "left").na.fill(0, ["raw", "good"])
     listed = full.agg(F.array_sort(F.collect_list(F.struct("bucket", "raw", "good"))).alias("t"), F.sum("raw").alias("r"), F.sum("good").alias("g"))
     log = lambda n, total: F.log((n + SMOOTH) / (total + SMOOTH * BUCKETS))
-    ratio = F.when(F.col("g") > 0, F.transform("t", lambda x: (log(x["good"], F.col("g")) - log(x["raw"], F.col("r"))).cast("float"))).otherwise(F.array_repeat(F.lit(0.0).cast("float"), BUCKETS))
+    ratio = F.when(F.col("g") > 0, F.transform("t", lambda x: (log(x["good"], F.col("g")) - log(F.greatest(x["raw"] - 1, F.lit(0)), F.col("r"))).cast("float"))).otherwise(F.array_repeat(F.lit(0.0).cast("float"), BUCKETS))
     return listed.select(ratio.alias("ratios"))
 
 
