@@ -47,8 +47,8 @@ def test_scores_against_brute_force(docs, spark):
         trusted.update(r.b if r.doc_id < 8 else [])
     from math import log
 
-    p = lambda c, b: log((c[b] + quality.SMOOTH) / (sum(c.values()) + quality.SMOOTH * quality.BUCKETS))
-    want = {r.doc_id: sum(p(trusted, b) - p(raw, b) for b in r.b) / len(r.b) for r in grams}
+    p = lambda c, b, less=0: log((max(0, c[b] - less) + quality.SMOOTH) / (sum(c.values()) + quality.SMOOTH * quality.BUCKETS))
+    want = {r.doc_id: sum(p(trusted, b) - p(raw, b, 1) for b in r.b) / len(r.b) for r in grams}
     got = {r.doc_id: r for r in quality.judge(df, labels).collect()}
     for i, w in want.items():
         assert abs(got[i].score - w) < 1e-4
