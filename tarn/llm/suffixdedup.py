@@ -15,7 +15,9 @@ occurs once (no window of it repeats), the whole stretch occurs twice (all do),
 or the anchor occurs in different stretches. Only for the last are single
 windows compared, with one representative of each stretch that occurs twice: the
 bytes of stretches with one anchor meet in one task if there are at most GROUP
-kinds of them, and for more the windows are dealt out by fingerprint.
+kinds of them. For more, cells of CELL neighbouring windows are dealt out by
+fingerprint, so that no task gets a whole group; cells that occur twice are done,
+and only windows of the others are dealt out singly, with one of each done cell.
 
 Defined cases: a null text is empty; texts under LENGTH bytes lose nothing; a
 repeated row is another occurrence of its text, so long texts that occur twice
@@ -40,7 +42,9 @@ LENGTH = 200
 SEED = 32
 CHUNK = 1 << 21
 #: Kinds of stretches with one anchor that one task compares.
-GROUP = 4096
+GROUP = 512
+#: Windows of a cell; cells lie at multiples of this distance from the anchor.
+CELL = 8
 #: Batches that a one-off query deals its table into.
 BATCHES = 2
 _P = 0x9E3779B97F4A7C15 | 1
@@ -213,41 +217,53 @@ class SuffixIndex:
         self.arrays = []
 
 
-ASKED = pa.schema([("x", pa.int64()), ("y", pa.int64()), ("owner", pa.int64()), ("shift", pa.int32()), ("part", pa.binary())])
+ASKED = pa.schema([("anchor", pa.int64()), ("top", pa.int32()), ("owner", pa.int64()), ("part", pa.binary()), ("y", pa.int64()), ("ys", pa.list_(pa.int64()))])
+
+
+def cells(shift: int, size: int) -> list[tuple[int, int]]:
+    """(offset, windows) of the cells of a stretch; only those of CELL windows are whole."""
+    out, at = [], 0
+    while at < size:
+        n = min((shift - at) % CELL + 1, size - at)
+        out.append((at, n))
+        at += n
+    return out
 
 
 def _asked_rows(joined: DataFrame, length: int, group: int) -> DataFrame:
-    """Rows of the listed stretches of each text: one with the stretch's bytes where its anchor has at most ``group`` kinds, else one (x, y, owner) for each window.
+    """Rows of the listed stretches of each text: one with the stretch's bytes where its anchor has at most ``group`` kinds, else one for each cell.
 
-    An owner is a stretch's number * 256 + offset of the window.
+    An owner is a stretch's number * 256 + offset of the first window, which is
+    ``top`` before the anchor. A cell has the fingerprints of its windows (``ys``)
+    and, if whole, that of its bytes (``y``).
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows_of(batches):
             for at in range(0, batch.num_rows, 16):
                 some = batch.slice(at, 16)
-                xs, ys, owners, shifts, parts = [], [], [], [], []
+                rows: list[tuple] = []
                 for text, listed in zip(some.column(0).to_pylist(), some.column(1).to_pylist(), strict=True):
                     data = _bytes(text)
                     for s in listed:
                         start, shift, size = s["place"] >> 16, s["place"] >> 8 & 255, (s["place"] & 255) + 1
-                        part = data[start : start + size + length - 1]
+                        part, owner = data[start : start + size + length - 1], s["number"] * 256
                         if s["kinds"] <= group:
-                            x, y, n, raw = np.array([s["anchor"]]).view(np.uint64), np.zeros(1, np.uint64), 1, part.tobytes()
-                        else:
-                            (x, y), n, raw = windows(part, s["anchor"], shift, length), size, None
-                        xs.append(x)
-                        ys.append(y)
-                        owners.append((np.arange(n) + s["number"] * 256).astype(np.uint64))
-                        shifts += [shift] * n
-                        parts += [raw] * n
-                yield pa.RecordBatch.from_arrays([_signed(xs), _signed(ys), _signed(owners), pa.array(shifts, pa.int32()), pa.array(parts, pa.binary())], schema=ASKED)
+                            rows.append((s["anchor"], shift, owner, part.tobytes(), None, None))
+                            continue
+                        rolling = Rolling(part)
+                        ys = rolling.all(length).view(np.int64)
+                        for o, n in cells(shift, size):
+                            y = int(rolling.hash(np.array([o]), np.array([o + n + length - 1])).view(np.int64)[0]) if n == CELL else None
+                            rows.append((s["anchor"], shift - o, owner + o, None, y, ys[o : o + n].tolist()))
+                columns = zip(*rows, strict=True) if rows else [[] for _ in ASKED]
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, ASKED, strict=True)], schema=ASKED)
 
-    return arrow_map(joined, run, "x long, y long, owner long, shift int, part binary")
+    return arrow_map(joined, run, "anchor long, top int, owner long, part binary, y long, ys array<long>")
 
 
 def _compared(rows: DataFrame, length: int) -> DataFrame:
-    """(number, offset, size): runs of windows that occur twice among the bytes of stretches (x: anchor), dealt by anchor."""
+    """(number, offset, size): runs of windows that occur twice among the bytes of stretches, dealt by anchor."""
     schema = pa.schema([("number", pa.int64()), ("offset", pa.int64()), ("size", pa.int64())])
 
     def found(held: list[pa.RecordBatch]) -> pa.RecordBatch:
@@ -285,7 +301,19 @@ def _compared(rows: DataFrame, length: int) -> DataFrame:
         if held:
             yield found(held)
 
-    return arrow_map(rows.repartition("x").sortWithinPartitions("x").select("x", "owner", "shift", "part"), run, "number long, offset long, size long")
+    return arrow_map(rows.repartition("anchor").sortWithinPartitions("anchor").select("anchor", "owner", "top", "part"), run, "number long, offset long, size long")
+
+
+def _dealt(rows: DataFrame) -> tuple[DataFrame, str]:
+    """(owner, size): runs of windows that occur twice, from rows of cells; and the folder that it reads."""
+    same = ["anchor", "top", "y"]
+    twice = rows.filter("y is not null").groupBy(*same).agg(F.count(F.lit(1)).alias("n"), F.min("owner").alias("first")).filter("n >= 2").select(*same, "first")
+    told, told_path = stored(rows.join(twice, same, "left").select("anchor", "top", "owner", "ys", "first"), "cells")
+    done = told.filter("first is not null").select("owner", F.lit(CELL).cast("long").alias("size"))
+    left = told.filter("first is null or first = owner").select("anchor", "top", "owner", F.posexplode("ys").alias("k", "y"))
+    one = left.select("anchor", (F.col("top") - F.col("k")).alias("top"), "y", (F.col("owner") + F.col("k")).alias("owner"))
+    again = one.groupBy(*same).agg(F.count(F.lit(1)).alias("n")).filter("n >= 2").select(*same)
+    return done.union(one.join(again, same).select("owner", F.lit(1).cast("long").alias("size"))), told_path
 
 
 def repeated_ranges(keyed: DataFrame, length: int = LENGTH, seed: int = SEED, batches: int = BATCHES, group: int = GROUP) -> DataFrame:
@@ -309,16 +337,15 @@ def repeated_ranges(keyed: DataFrame, length: int = LENGTH, seed: int = SEED, ba
     rows, rows_path = stored(_asked_rows(keyed.join(listed, ["key_id", "key_text"]).select("text", "listed"), length, group), "asked-rows")
     release(spark)
     few = _compared(rows.filter("part is not null"), length)
-    many = rows.filter("part is null")
-    twice = many.groupBy("x", "y").agg(F.count(F.lit(1)).alias("n")).filter("n >= 2").select("x", "y")
-    dealt = many.join(twice, ["x", "y"]).select(F.shiftright("owner", 8).alias("number"), F.col("owner").bitwiseAND(F.lit(255)).alias("offset"), F.lit(1).cast("long").alias("size"))
+    many, cells_path = _dealt(rows.filter("part is null"))
+    dealt = many.select(F.shiftright("owner", 8).alias("number"), F.col("owner").bitwiseAND(F.lit(255)).alias("offset"), "size")
     begin = F.shiftright("place", 16)
     single = few.union(dealt).join(asked, "number").select("key_id", "key_text", (begin + F.col("offset")).alias("lo"), "size")
     whole = hits.filter("whole").select("key_id", "key_text", begin.alias("lo"), (F.col("place").bitwiseAND(F.lit(255)) + 1).alias("size"))
     # A repeated row says the same again: sets hold it once.
     ranges = single.union(whole).groupBy("key_id", "key_text").agg(F.collect_set(F.struct("lo", (F.col("lo") + F.col("size") + F.lit(length - 1)).alias("hi"))).alias("ranges"))
     done, _ = stored(ranges, "ranges")
-    for path in (hits_path, asked_path, rows_path):
+    for path in (hits_path, asked_path, rows_path, cells_path):
         delete(spark, path)
     release(spark)
     return done

@@ -94,3 +94,12 @@ def test_query_and_stage(docs):
     cut = suffixdedup.without_repeats(docs(rows).selectExpr("doc_id", "text", "doc_id * 2 AS more")).collect()
     assert sorted(str(tuple(r)) for r in cut) == sorted(str(x) for x in [(1, "", 2), (1, "", 2), (None, "x", None), (2, None, 4), (3, "short", 6)])
     assert suffixdedup.measured(docs([])).count() == 0
+
+
+def test_cells_lie_at_multiples_of_their_size():
+    for shift in range(169):
+        for size in range(1, shift + 2):
+            found = suffixdedup.cells(shift, size)
+            assert [o + i for o, n in found for i in range(n)] == list(range(size))
+            for o, n in found:
+                assert n <= suffixdedup.CELL and (n < suffixdedup.CELL or (shift - o) % suffixdedup.CELL == suffixdedup.CELL - 1)
