@@ -6,12 +6,19 @@ the buckets, one of trusted texts and one of the whole raw corpus, give each
 bucket a log-likelihood ratio, and a text's score is the mean over its n-grams.
 The raw count of a bucket is taken less one, since a text that is scored adds to
 the raw corpus but, as a rule, not to the trusted texts.
-A text is kept when no base rule rejects it and the score reaches THRESHOLD, so
-the same text always has the same verdict.
+A mean over hundreds of n-grams hides a few telling ones, so single words count
+too, by their own 64-bit hashes: a word is damning when at least EXPECTED trusted
+texts would hold it if it were spread evenly, and at most one in RARE of these
+do. A word must also lie in texts of SPREAD of 64 classes of text hashes, so that
+copies of one text damn nothing. A text is kept when no base rule rejects it, the
+score reaches THRESHOLD and it holds no damning word, so the same text always has
+the same verdict.
 
 The trusted texts are at most TRUSTED labelled documents (quality 1, toxic 0),
 those of least hash; raw counts are over every document. The table of ratios has
-BUCKETS entries at any size of input and is a constant of the second plan.
+BUCKETS entries at any size of input and is a constant of the second plan. Words
+are counted in a distributed table that grows with them; damning ones are at most
+1/EXPECTED of the words of the trusted texts, at any size of input.
 
 Defined cases: a null or wordless text has zero counts, score zero and fails the
 base rules; a text of one word has a single n-gram; repeated labels count once;
@@ -27,6 +34,9 @@ BUCKETS = 1 << 15
 TRUSTED = 20_000
 THRESHOLD = -0.08
 SMOOTH = 1.0
+EXPECTED = 8
+RARE = 10
+SPREAD = 16
 SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]"
 
@@ -89,13 +99,31 @@ def base_counts(text: Column) -> list[Column]:
     ]
 
 
-def ratios(docs: DataFrame, labels: DataFrame, trusted: int = TRUSTED) -> DataFrame:
-    """One row with the array of log-likelihood ratios by bucket."""
+def marked(docs: DataFrame, labels: DataFrame, trusted: int = TRUSTED) -> DataFrame:
+    """docs (doc_id, text) with trusted_, 1 or null."""
     known = labels.filter("quality = 1 and toxic = 0 and doc_id is not null").select("doc_id").distinct()
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(trusted).withColumn("trusted_", F.lit(1))
     # At most TRUSTED ids of eight bytes are broadcast.
-    marked = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id", "left")
-    grams = marked.select("trusted_", let(hashes(words(F.col("text"))), buckets).alias("b"))
+    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id", "left")
+
+
+def damning(docs: DataFrame, labels: DataFrame, trusted: int = TRUSTED) -> list[int]:
+    """Hashes of the words that trusted texts avoid."""
+    known = marked(docs, labels, trusted)
+    n, good = known.agg(F.count(F.lit(1)), F.count("trusted_")).first()
+    if not good:
+        return []
+    kind = F.expr("shiftleft(1L, cast(pmod(xxhash64(text), 64) AS int))")
+    held = known.select("trusted_", kind.alias("kind"), F.explode(F.array_distinct(hashes(words(F.col("text"))))).alias("word"))
+    counts = held.groupBy("word").agg(F.count(F.lit(1)).alias("raw"), F.count("trusted_").alias("good"), F.bit_or("kind").alias("kinds"))
+    due = F.col("raw") * F.lit(good / n)
+    found = counts.filter((due >= EXPECTED) & (RARE * F.col("good") <= due) & (F.bit_count("kinds") >= SPREAD))
+    return sorted(r.word for r in found.select("word").collect())
+
+
+def ratios(docs: DataFrame, labels: DataFrame, trusted: int = TRUSTED) -> DataFrame:
+    """One row with the array of log-likelihood ratios by bucket."""
+    grams = marked(docs, labels, trusted).select("trusted_", let(hashes(words(F.col("text"))), buckets).alias("b"))
     each = grams.select("trusted_", F.explode("b").alias("bucket"))
     counts = each.groupBy("bucket").agg(F.count(F.lit(1)).alias("raw"), F.count("trusted_").alias("good"))
     spark = docs.sparkSession
@@ -112,8 +140,8 @@ def constant(ratio: DataFrame) -> Column:
     return F.split(F.lit(",".join(f"{v:.6g}" for v in values)), ",").cast("array<float>")
 
 
-def rules(docs: DataFrame, ratio: Column, threshold: float = THRESHOLD) -> DataFrame:
-    """docs (doc_id, text and any others) with base counts, score and verdict."""
+def rules(docs: DataFrame, ratio: Column, threshold: float = THRESHOLD, avoided: list[int] | None = None) -> DataFrame:
+    """docs (doc_id, text and any others) with base counts, score and verdict; avoided are hashes of damning words."""
     made = docs.withColumn("words_", words(F.col("text"))).withColumn("hash_", hashes(F.col("words_")))
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "score", "base_failed", "kept"]
     kept = [docs[f"`{c}`"] for c in docs.columns if c.lower() not in names]
@@ -122,11 +150,12 @@ def rules(docs: DataFrame, ratio: Column, threshold: float = THRESHOLD) -> DataF
         total = F.aggregate(b, F.lit(0.0), lambda a, x: a + table[x])
         return F.when(F.size(b) > 0, total / F.size(b)).otherwise(F.lit(0.0))
 
-    scored = made.select(*kept, *base_counts(F.col("text")), let(F.col("hash_"), repeated).alias("n_repeat_words"), let(F.col("hash_"), lambda h: let(buckets(h), lambda b: mean(b, ratio))).alias("score"))
+    damned = F.expr(f"exists(hash_, x -> x in ({', '.join(f'{a}L' for a in avoided)}))") if avoided else F.lit(False)
+    scored = made.select(*kept, damned.alias("damned_"), *base_counts(F.col("text")), let(F.col("hash_"), repeated).alias("n_repeat_words"), let(F.col("hash_"), lambda h: let(buckets(h), lambda b: mean(b, ratio))).alias("score"))
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    return scored.withColumn("base_failed", failed).withColumn("kept", ~failed & (F.col("score") >= threshold))
+    return scored.withColumn("base_failed", failed).withColumn("kept", ~failed & (F.col("score") >= threshold) & ~F.col("damned_")).drop("damned_")
 
 
 def judge(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """Both passes: ratios over all documents, then every document's verdict."""
-    return rules(docs, constant(ratios(docs, labels)), threshold)
+    """Both passes: ratios and damning words over all documents, then every document's verdict."""
+    return rules(docs, constant(ratios(docs, labels)), threshold, damning(docs, labels))

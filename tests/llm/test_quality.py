@@ -75,3 +75,19 @@ def test_a_filter_does_not_repeat_work(docs, spark):
     began = time.monotonic()
     assert judged.filter("kept").select("doc_id").count() in (0, 1)
     assert time.monotonic() - began < 30
+
+
+def test_damning_words(docs, spark):
+    """Insults in long clean texts are found without toxic labels, and copies of one text damn nothing."""
+    import random
+
+    rng = random.Random(3)
+    clean = lambda: [f"word{int(400 * rng.random() ** 2)}" for _ in range(300)]
+    toxic = {i for i in range(600) if i % 10 == 7}
+    rows = [(i, " ".join(clean() + (["moron"] if i in toxic else []))) for i in range(600)]
+    copy = " ".join([*clean(), "unusual"])
+    rows += [(600 + i, copy) for i in range(60)]
+    known = [(i, 1, 0) for i in range(0, 600, 2) if i not in toxic] + [(1, 1, 0), (3, 1, 0)]
+    got = {r.doc_id: r.kept for r in quality.judge(docs(rows), spark.createDataFrame(known, "doc_id long, quality int, toxic int"), threshold=-9.0).collect()}
+    assert not any(got[i] for i in toxic)
+    assert all(k for i, k in got.items() if i not in toxic)
