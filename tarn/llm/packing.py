@@ -1,14 +1,14 @@
-"""Best-fit packing of token sequences by bulk-synchronous rounds.
+"""Best-fit packing of token sequences over length classes.
 
 Documents are encoded, closed with an end id, and cut into pieces of at most
 CAPACITY tokens. Pieces are range-sorted by length, longest first, which gives
-each a rank. In a round the pieces of one length sweep for their successor among
-the gaps, the least gap that holds them; of pieces and gaps of equal size, the
-one of k-th rank takes the k-th, so conflicts cannot arise; filled gaps move to
-their new size, and the round repeats until no gap is left, when new sequences
-open. Lengths and gaps are at most CAPACITY, so a sweep works on runs of ranks,
-not on pieces: what the rounds hold is bounded by CAPACITY, at any input. Ranks
-and places of the pieces are computed where the pieces are.
+each a rank. The counts of pieces by length go to the driver, where one
+sequential loop over lengths, longest first, gives runs of ranks of each length
+to their successor among the gaps, the least gap that holds them, and opens new
+sequences when none does. This takes the place of distributed rounds of sweeps:
+gaps are never in Spark, and there are no conflicts. Lengths and gaps are at most
+CAPACITY, so what the loop holds is bounded by CAPACITY, at any input. Ranks and
+places of the pieces are computed where the pieces are.
 
 Defined cases: a null or empty text is the end id alone; equal pieces take ranks
 in a fixed order; only documents over CAPACITY tokens are cut, and only their
