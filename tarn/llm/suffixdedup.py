@@ -6,29 +6,41 @@ least hashed SEED-gram of some window of LENGTH bytes, which depends on the
 window's bytes alone, so equal windows meet at equal suffixes. The windows that
 share an anchor form one stretch of text; an entry of the array is the anchor's
 fingerprint, the stretch's fingerprint, and how often that pair occurs. Arrays
-are ordered by fingerprint, so that a merge scan is a sort-merge join.
-
-A batch becomes an array of level 0; while two arrays have one level they merge
-into the next, so an entry is rewritten a logarithmic number of times. Scanning
-documents against the levels gives each stretch one of three fates: its anchor
-occurs once (no window of it repeats), the whole stretch occurs twice (all do),
-or the anchor occurs in different stretches. Only for the last are single
-windows compared, with one representative of each stretch that occurs twice: the
-bytes of stretches with one anchor meet in one task if there are at most GROUP
-kinds of them. For more, cells of CELL neighbouring windows are dealt out by
-fingerprint, so that no task gets a whole group; cells that occur twice are done,
-and only windows of the others are dealt out singly, with one of each done cell.
-
-Defined cases: a null text is empty; texts under LENGTH bytes lose nothing; a
-repeated row is another occurrence of its text, so long texts that occur twice
-lose all bytes; runs of one byte are handled like other text; texts of any
-length are cut into chunks that overlap, which does not change what is found.
+are ordered by fingerprint, so that a merge scan is a sort-merge operation.
+
+A batch becomes an array of level 0. On arrival it is scanned against itself and
+all levels present: the anchors that occur twice once it is there are stored as
+its matches. Then, while two arrays have one level, they merge into the next, so
+an entry is rewritten a logarithmic number of times. An anchor that occurs twice
+is among the matches of the last batch that holds it, so the matches of all
+batches are all long matches.
+
+Every stretch has one of three fates: its anchor occurs once (no window of it
+repeats), the whole stretch occurs twice (all do), or its anchor occurs in
+different stretches. Only the last are refined, with one representative of each
+stretch that occurs twice, by the same rule at each of the sizes CELLS: a
+stretch is cut into cells of neighbouring windows at fixed distances from the
+anchor; the bytes that all windows of a cell share are its core, those that any
+of them has its extent. A cell whose core occurs once has no window that repeats
+and is dropped; one whose extent occurs twice is done; what is left holds the
+end of a match and goes to the next size, of which the last is one window. So a
+stretch gives a few rows for each end of a match in it, whatever the number of
+stretches with its anchor, and no task gets a group.
+
+Texts stay on a shelf: only numbers and fingerprints are shuffled.
+
+Defined cases: a null text is empty (and stays null where nothing is cut); texts
+under LENGTH bytes lose nothing; a repeated row is another occurrence of its
+text, so long texts that occur twice lose all bytes; runs of one byte are handled
+like other text; texts of any length are cut into chunks that overlap, which does
+not change what is found; an empty table gives an empty table; other columns,
+whatever their names, come back unchanged.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -36,17 +48,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import add_columns, arrow_map, delete, release, rows_of, stored, text_key
+from .common import arrow_map, delete, release, rows_of, stored
+from .shelf import Shelf, conform
 
 LENGTH = 200
 SEED = 32
 CHUNK = 1 << 21
-#: Kinds of stretches with one anchor that one task compares.
-GROUP = 512
-#: Windows of a cell; cells lie at multiples of this distance from the anchor.
-CELL = 8
+#: Windows of a cell, from the first cut of a stretch to single windows; each divides the one before it.
+CELLS = (16, 4, 1)
 #: Batches that a one-off query deals its table into.
-BATCHES = 2
+BATCHES = 3
 _P = 0x9E3779B97F4A7C15 | 1
 _LOW = np.uint64(0xFFFFFFFF)
 
@@ -127,49 +138,74 @@ def stretches(data: np.ndarray, length: int = LENGTH, seed: int = SEED) -> tuple
     return tuple(np.concatenate([f[i] for f in found]) for i in range(3))
 
 
-def windows(data: np.ndarray, anchor: int, shift: int, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
-    """Two fingerprints (of anchor and distance to it, and of bytes) of every window of a stretch's bytes."""
-    y = Rolling(data).all(length)
-    apart = (shift - np.arange(len(y))).astype(np.uint64)
-    return _mix(np.uint64(anchor & 0xFFFFFFFFFFFFFFFF) + apart * np.uint64(_P)), y
+def cells(at: np.ndarray, dist: np.ndarray, size: np.ndarray, width: int) -> tuple[np.ndarray, ...]:
+    """(parent, at, dist, size) of the cells of runs of windows.
 
+    A run starts at byte ``at``, ``dist`` before the anchor, and has ``size``
+    windows. A cell holds the windows whose distances have one quotient by width.
+    """
+    first, last = dist // width, (dist - size + 1) // width
+    count = first - last + 1
+    parent = np.repeat(np.arange(len(at)), count)
+    step = np.arange(len(parent)) - np.repeat(np.cumsum(count) - count, count)
+    quotient = first[parent] - step
+    top = np.minimum(dist[parent], quotient * width + width - 1)
+    bottom = np.maximum((dist - size + 1)[parent], quotient * width)
+    return parent, at[parent] + dist[parent] - top, top, top - bottom + 1
+
+
+def fingerprints(rolling: Rolling, at: np.ndarray, dist: np.ndarray, size: np.ndarray, width: int, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Core and extent of each cell."""
+    quotient = dist // width
+    anchor = at + dist
+    core = rolling.hash(anchor - quotient * width, anchor - (quotient * width + width - 1) + length)
+    extent = rolling.hash(at, at + size - 1 + length)
+    shape = (dist << 16 | size << 8 | width).astype(np.uint64)
+    return _mix(core ^ _mix((quotient << 16 | width).astype(np.uint64))), _mix(extent ^ _mix(shape))
 
-def _bytes(text: str | None) -> np.ndarray:
-    return np.frombuffer((text or "").encode("utf-8", "surrogatepass"), np.uint8)
+
+def _bytes(text: str | bytes | None) -> np.ndarray:
+    return np.frombuffer(text if isinstance(text, bytes) else (text or "").encode("utf-8", "surrogatepass"), np.uint8)
 
 
 def _signed(values: list[np.ndarray]) -> pa.Array:
     return pa.array(np.concatenate(values).astype(np.uint64).view(np.int64)) if values else pa.array([], pa.int64())
 
 
-def entries(texts: DataFrame, length: int, seed: int) -> DataFrame:
-    """(anchor, stretch) of every stretch of a one-column table."""
-    schema = pa.schema([("anchor", pa.int64()), ("stretch", pa.int64())])
+def _longs(arrays: list, names: str) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()) for a in arrays], names=names.replace(" long", "").split(", "))
+
 
+def entries(texts: DataFrame, length: int, seed: int) -> DataFrame:
+    """(anchor, stretch, n): stretches of a one-column table, counted by batch of texts."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows_of(batches):
-            found = [stretches(_bytes(t), length, seed)[:2] for t in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([_signed([f[0] for f in found]), _signed([f[1] for f in found])], schema=schema)
+            found = [stretches(_bytes(t), length, seed) for t in batch.column(0).to_pylist()]
+            anchor, stretch = (np.concatenate([f[i] for f in found]).view(np.int64) for i in (0, 1))
+            order = np.lexsort((stretch, anchor))
+            anchor, stretch = anchor[order], stretch[order]
+            first = np.flatnonzero((np.diff(anchor, prepend=0) != 0) | (np.diff(stretch, prepend=0) != 0)) if len(anchor) else order
+            first = np.union1d(first, [0]) if len(anchor) else first
+            yield _longs([anchor[first], stretch[first], np.diff(np.append(first, len(anchor)))], ENTRY)
 
-    return arrow_map(texts, run, "anchor long, stretch long")
+    return arrow_map(texts, run, ENTRY)
 
 
-PLACES = "key_id long, key_text long, anchor long, stretch long, place long"
+ENTRY = "anchor long, stretch long, n long"
+PLACES = "row long, anchor long, stretch long, place long"
 
 
-def places(keyed: DataFrame, length: int, seed: int) -> DataFrame:
-    """Every stretch with its text's key and place; keyed has key_id, key_text and text."""
-    schema = pa.schema([(c.split()[0], pa.int64()) for c in PLACES.split(", ")])
+def places(rows: DataFrame, length: int, seed: int) -> DataFrame:
+    """Every stretch with its row and place; rows has row and text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows_of(batches):
-            found = [stretches(_bytes(t), length, seed) for t in batch.column(2).to_pylist()]
+            found = [stretches(_bytes(t), length, seed) for t in batch.column(1).to_pylist()]
             count = np.array([len(f[0]) for f in found], np.int64)
-            keys = [pa.array(np.repeat(batch.column(i).to_numpy(zero_copy_only=False), count)) for i in (0, 1)]
-            arrays = [*keys, *(_signed([f[i] for f in found]) for i in range(3))]
-            yield pa.RecordBatch.from_arrays(arrays, schema=schema)
+            row = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), count)
+            yield _longs([row, *(_signed([f[i] for f in found]) for i in range(3))], PLACES)
 
-    return arrow_map(keyed.select("key_id", "key_text", "text"), run, PLACES)
+    return arrow_map(rows.select("row", "text"), run, PLACES)
 
 
 class SuffixIndex:
@@ -181,14 +217,17 @@ class SuffixIndex:
         self.spark, self.length, self.seed = spark, length, seed
         #: (level, array, folder), highest level first.
         self.arrays: list[tuple[int, DataFrame, str]] = []
+        #: (anchors, folder) that each batch was found to share, on arrival, with itself and the levels.
+        self.matches: list[tuple[DataFrame, str]] = []
 
     def _store(self, rows: DataFrame) -> tuple[DataFrame, str]:
         return stored(rows.sortWithinPartitions("anchor", "stretch"), "suffixes")
 
     def add(self, texts: DataFrame) -> None:
-        """Adds a batch (one column of texts) as an array of level 0, and merges equal levels."""
-        counted = entries(texts, self.length, self.seed).groupBy("anchor", "stretch").agg(F.count(F.lit(1)).alias("n"))
-        self.arrays.append((0, *self._store(counted)))
+        """Adds a batch (one column of texts) as an array of level 0, scans it against the levels, and merges equal ones."""
+        new, path = self._store(entries(texts, self.length, self.seed).groupBy("anchor", "stretch").agg(F.sum("n").alias("n")))
+        self.matches.append(stored(self._scanned(new), "matches"))
+        self.arrays.append((0, new, path))
         while len(self.arrays) > 1 and self.arrays[-1][0] == self.arrays[-2][0]:
             (level, a, at), (_, b, bt) = self.arrays[-2:]
             merged = a.union(b).groupBy("anchor", "stretch").agg(F.sum("n").alias("n"))
@@ -197,6 +236,13 @@ class SuffixIndex:
                 delete(self.spark, path)
         release(self.spark)
 
+    def _scanned(self, new: DataFrame) -> DataFrame:
+        """Anchors of a new array that occur twice in it and the levels; counts meet, not entries."""
+        both = new.select("anchor", "n", F.lit(1).alias("fresh"))
+        for _, old, _ in self.arrays:
+            both = both.union(old.select("anchor", "n", F.lit(0)))
+        return both.groupBy("anchor").agg(F.sum("n").alias("n"), F.max("fresh").alias("fresh")).filter("n >= 2 and fresh = 1").select("anchor")
+
     def entries(self) -> DataFrame:
         """Entries of all levels, merged."""
         rows = self.arrays[0][1]
@@ -204,181 +250,132 @@ class SuffixIndex:
             rows = rows.union(more)
         return rows.groupBy("anchor", "stretch").agg(F.sum("n").alias("n")) if len(self.arrays) > 1 else rows
 
-    def scan(self, keyed: DataFrame) -> DataFrame:
-        """Stretches of keyed texts whose anchor occurs twice in the levels: ``place``, ``whole`` (the stretch occurs twice), and ``kinds``, how many different stretches the anchor has."""
-        rows = self.entries()
-        anchors = rows.groupBy("anchor").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("kinds")).filter("total >= 2").select("anchor", "kinds")
-        fate = rows.join(anchors, "anchor").select("anchor", "stretch", (F.col("n") >= 2).alias("whole"), "kinds")
-        return places(keyed, self.length, self.seed).join(fate, ["anchor", "stretch"])
+    def fates(self) -> DataFrame:
+        """(anchor, stretch, n, kinds) of the entries that a match reaches; ``kinds`` is how many different stretches the anchor has."""
+        anchors = self.matches[0][0]
+        for more, _ in self.matches[1:]:
+            anchors = anchors.union(more)
+        rows = self.arrays[0][1]
+        for _, more, _ in self.arrays[1:]:
+            rows = rows.union(more)
+        near = rows.join(anchors.distinct(), "anchor", "left_semi").groupBy("anchor", "stretch").agg(F.sum("n").alias("n"))
+        return _with_kinds(near, "anchor")
+
+    def scan(self, rows: DataFrame) -> DataFrame:
+        """(row, place, anchor, stretch, n, kinds): stretches of rows (row, text), all of which were added, that a match reaches."""
+        return places(rows, self.length, self.seed).join(self.fates(), ["anchor", "stretch"])
 
     def drop(self) -> None:
-        for _, _, path in self.arrays:
+        for path in [a[2] for a in self.arrays] + [m[1] for m in self.matches]:
             delete(self.spark, path)
-        self.arrays = []
+        self.arrays, self.matches = [], []
 
 
-ASKED = pa.schema([("anchor", pa.int64()), ("top", pa.int32()), ("owner", pa.int64()), ("part", pa.binary()), ("y", pa.int64()), ("ys", pa.list_(pa.int64()))])
+def _with_kinds(counts: DataFrame, key: str) -> DataFrame:
+    """counts (key, another, n) of the keys that occur twice, with the number of kinds of each key."""
+    twice = counts.groupBy(key).agg(F.count(F.lit(1)).alias("kinds"), F.sum("n").alias("total")).filter("total >= 2").drop("total")
+    return counts.join(twice, key)
 
 
-def cells(shift: int, size: int) -> list[tuple[int, int]]:
-    """(offset, windows) of the cells of a stretch; only those of CELL windows are whole."""
-    out, at = [], 0
-    while at < size:
-        n = min((shift - at) % CELL + 1, size - at)
-        out.append((at, n))
-        at += n
-    return out
+RUN = "row long, at long, dist long, size long"
+CELL = RUN + ", core long, extent long"
 
 
-def _asked_rows(joined: DataFrame, length: int, group: int) -> DataFrame:
-    """Rows of the listed stretches of each text: one with the stretch's bytes where its anchor has at most ``group`` kinds, else one for each cell.
+def _cut(shelf: Shelf, runs: DataFrame, width: int, length: int) -> DataFrame:
+    """The cells of runs of windows, with their fingerprints."""
 
-    An owner is a stretch's number * 256 + offset of the first window, which is
-    ``top`` before the anchor. A cell has the fingerprints of its windows (``ys``)
-    and, if whole, that of its bytes (``y``).
-    """
+    def make(rows: pa.RecordBatch, asked: pa.Table) -> Iterator[pa.RecordBatch]:
+        row, at, dist, size = (asked.column(c).to_numpy() for c in ("row", "at", "dist", "size"))
+        number, texts = rows.column(0).to_numpy(), rows.column(1)
+        found = []
+        # Runs come sorted by row and byte; those of one row and chunk share their sums.
+        part = row * 0 + at // CHUNK
+        first = np.flatnonzero((np.diff(row, prepend=-1) != 0) | (np.diff(part, prepend=-1) != 0))
+        for lo, hi in zip(first, [*first[1:], len(row)], strict=True):
+            data = _bytes(texts[int(np.searchsorted(number, row[lo]))].as_py())
+            begin = int(part[lo]) * CHUNK
+            rolling = Rolling(data[begin : begin + CHUNK + 2 * length + 256])
+            _, a, d, n = cells(at[lo:hi] - begin, dist[lo:hi], size[lo:hi], width)
+            core, extent = fingerprints(rolling, a, d, n, width, length)
+            found.append((np.full(len(a), row[lo]), a + begin, d, n, core.view(np.int64), extent.view(np.int64)))
+        if found:
+            yield _longs([np.concatenate([f[i] for f in found]) for i in range(6)], CELL)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in rows_of(batches):
-            for at in range(0, batch.num_rows, 16):
-                some = batch.slice(at, 16)
-                rows: list[tuple] = []
-                for text, listed in zip(some.column(0).to_pylist(), some.column(1).to_pylist(), strict=True):
-                    data = _bytes(text)
-                    for s in listed:
-                        start, shift, size = s["place"] >> 16, s["place"] >> 8 & 255, (s["place"] & 255) + 1
-                        part, owner = data[start : start + size + length - 1], s["number"] * 256
-                        if s["kinds"] <= group:
-                            rows.append((s["anchor"], shift, owner, part.tobytes(), None, None))
-                            continue
-                        rolling = Rolling(part)
-                        ys = rolling.all(length).view(np.int64)
-                        for o, n in cells(shift, size):
-                            y = int(rolling.hash(np.array([o]), np.array([o + n + length - 1])).view(np.int64)[0]) if n == CELL else None
-                            rows.append((s["anchor"], shift - o, owner + o, None, y, ys[o : o + n].tolist()))
-                columns = zip(*rows, strict=True) if rows else [[] for _ in ASKED]
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, ASKED, strict=True)], schema=ASKED)
-
-    return arrow_map(joined, run, "anchor long, top int, owner long, part binary, y long, ys array<long>")
-
-
-def _compared(rows: DataFrame, length: int) -> DataFrame:
-    """(number, offset, size): runs of windows that occur twice among the bytes of stretches, dealt by anchor."""
-    schema = pa.schema([("number", pa.int64()), ("offset", pa.int64()), ("size", pa.int64())])
-
-    def found(held: list[pa.RecordBatch]) -> pa.RecordBatch:
-        xs, ys, owners = [], [], []
-        for batch in held:
-            for anchor, owner, shift, part in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                x, y = windows(np.frombuffer(part, np.uint8), anchor, shift, length)
-                xs.append(x)
-                ys.append(y)
-                owners.append(np.arange(len(x)) + owner)
-        x, y, owner = (np.concatenate(v) for v in (xs, ys, owners))
-        order = np.lexsort((y, x))
-        same = (x[order][1:] == x[order][:-1]) & (y[order][1:] == y[order][:-1])
-        twice = np.zeros(len(x), bool)
-        twice[order[1:][same]] = twice[order[:-1][same]] = True
-        # Owners of one stretch follow each other: a run ends where the next owner is no neighbour.
-        owner = owner[twice]
-        first = np.flatnonzero(np.diff(owner, prepend=-9) != 1)
-        size = np.diff(np.append(first, len(owner)))
-        return pa.RecordBatch.from_arrays([pa.array(owner[first] >> 8), pa.array(owner[first] & 255), pa.array(size)], schema=schema)
+    return shelf.visit(runs, make, CELL)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        for batch in rows_of(batches):
-            anchor = batch.column(0).to_numpy(zero_copy_only=False)
-            # Stretches up to the last change of anchor are complete groups.
-            cut = np.flatnonzero(anchor != anchor[-1])
-            cut = int(cut[-1]) + 1 if len(cut) else 0
-            if cut or (held and held[-1].column(0)[-1].as_py() != anchor[0]):
-                if cut:
-                    held.append(batch.slice(0, cut))
-                yield found(held)
-                held = []
-            held.append(batch.slice(cut))
-        if held:
-            yield found(held)
-
-    return arrow_map(rows.repartition("anchor").sortWithinPartitions("anchor").select("anchor", "owner", "top", "part"), run, "number long, offset long, size long")
-
-
-def _dealt(rows: DataFrame) -> tuple[DataFrame, str]:
-    """(owner, size): runs of windows that occur twice, from rows of cells; and the folder that it reads."""
-    same = ["anchor", "top", "y"]
-    twice = rows.filter("y is not null").groupBy(*same).agg(F.count(F.lit(1)).alias("n"), F.min("owner").alias("first")).filter("n >= 2").select(*same, "first")
-    told, told_path = stored(rows.join(twice, same, "left").select("anchor", "top", "owner", "ys", "first"), "cells")
-    done = told.filter("first is not null").select("owner", F.lit(CELL).cast("long").alias("size"))
-    left = told.filter("first is null or first = owner").select("anchor", "top", "owner", F.posexplode("ys").alias("k", "y"))
-    one = left.select("anchor", (F.col("top") - F.col("k")).alias("top"), "y", (F.col("owner") + F.col("k")).alias("owner"))
-    again = one.groupBy(*same).agg(F.count(F.lit(1)).alias("n")).filter("n >= 2").select(*same)
-    return done.union(one.join(again, same).select("owner", F.lit(1).cast("long").alias("size"))), told_path
-
-
-def repeated_ranges(keyed: DataFrame, length: int = LENGTH, seed: int = SEED, batches: int = BATCHES, group: int = GROUP) -> DataFrame:
-    """(key_id, key_text, ranges): byte ranges, overlapping and in any order, that repeat; keyed has key_id, key_text and text."""
+
+def _refined(shelf: Shelf, runs: DataFrame, width: int, length: int) -> tuple[DataFrame, DataFrame, list[str]]:
+    """(row, at, size) of cells all of whose windows repeat, runs that are left, and the folders that both read."""
+    cut, cut_path = stored(_cut(shelf, runs, width, length), "cells")
+    counts = cut.groupBy("core", "extent").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("row", "at")).alias("first"))
+    judged, path = stored(cut.join(_with_kinds(counts, "core"), ["core", "extent"]), "judged")
+    left = judged.filter((F.col("kinds") >= 2) & ((F.col("n") == 1) | (F.col("first") == F.struct("row", "at"))))
+    return judged.filter("n >= 2").select("row", "at", "size"), left.select("row", "at", "dist", "size"), [cut_path, path]
+
+
+def repeated_ranges(shelf: Shelf, length: int = LENGTH, seed: int = SEED, batches: int = BATCHES) -> tuple[DataFrame, list[str]]:
+    """(row, at, size) of runs of windows that repeat, overlapping and in any order, and the folders that it reads."""
     if length - seed + 1 > 256:
         raise ValueError("a stretch has at most 256 windows")
-    spark = keyed.sparkSession
-    index = SuffixIndex(spark, length, seed)
+    index = SuffixIndex(shelf.spark, length, seed)
     for i in range(batches):
-        index.add(keyed.filter(F.pmod(F.xxhash64("key_id", "key_text"), F.lit(batches)) == i).select("text"))
-    hits, hits_path = stored(index.scan(keyed), "hits")
+        index.add(shelf.batch(i, batches).select("text"))
+    hits, hits_path = stored(index.scan(shelf.rows), "hits")
     index.drop()
-    release(spark)
-
-    # Stretches whose windows must be compared one by one.
-    mixed, parts = hits.filter("kinds >= 2"), ["key_id", "key_text", "place", "anchor", "kinds"]
-    alone = mixed.filter("not whole").select(*parts)
-    one = mixed.filter("whole").groupBy("anchor", "stretch").agg(F.min(F.struct(*parts)).alias("s")).select("s.*")
-    asked, asked_path = stored(alone.union(one).distinct().withColumn("number", F.monotonically_increasing_id()), "asked")
-    listed = asked.groupBy("key_id", "key_text").agg(F.collect_list(F.struct("number", "place", "anchor", "kinds")).alias("listed"))
-    rows, rows_path = stored(_asked_rows(keyed.join(listed, ["key_id", "key_text"]).select("text", "listed"), length, group), "asked-rows")
-    release(spark)
-    few = _compared(rows.filter("part is not null"), length)
-    many, cells_path = _dealt(rows.filter("part is null"))
-    dealt = many.select(F.shiftright("owner", 8).alias("number"), F.col("owner").bitwiseAND(F.lit(255)).alias("offset"), "size")
-    begin = F.shiftright("place", 16)
-    single = few.union(dealt).join(asked, "number").select("key_id", "key_text", (begin + F.col("offset")).alias("lo"), "size")
-    whole = hits.filter("whole").select("key_id", "key_text", begin.alias("lo"), (F.col("place").bitwiseAND(F.lit(255)) + 1).alias("size"))
-    # A repeated row says the same again: sets hold it once.
-    ranges = single.union(whole).groupBy("key_id", "key_text").agg(F.collect_set(F.struct("lo", (F.col("lo") + F.col("size") + F.lit(length - 1)).alias("hi"))).alias("ranges"))
-    done, _ = stored(ranges, "ranges")
-    for path in (hits_path, asked_path, rows_path, cells_path):
-        delete(spark, path)
-    release(spark)
-    return done
-
-
-def merged(ranges: list[dict] | None) -> list[tuple[int, int]]:
+    release(shelf.spark)
+    run = ["row", F.shiftright("place", 16).alias("at"), F.shiftright("place", 8).bitwiseAND(F.lit(255)).alias("dist"), (F.col("place").bitwiseAND(F.lit(255)) + 1).alias("size")]
+    found = hits.filter("n >= 2").select(run[0], run[1], run[3])
+    # One of each stretch that occurs twice stands for it in what follows.
+    mixed = hits.filter("kinds >= 2")
+    one = mixed.filter("n >= 2").groupBy("anchor", "stretch").agg(F.min(F.struct("row", "place")).alias("s")).select("s.*")
+    left, folders = mixed.filter("n = 1").select("row", "place").union(one).select(*run), [hits_path]
+    for width in CELLS:
+        done, left, paths = _refined(shelf, left, width, length)
+        found, folders = found.union(done), folders + paths
+        release(shelf.spark)
+    return found, folders
+
+
+def merged(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Maximal runs of byte ranges, in order."""
-    out: list[list[int]] = []
-    for lo, hi in sorted((r["lo"], r["hi"]) for r in ranges or []):
-        if out and lo <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], hi)
-        else:
-            out.append([lo, hi])
-    return [(lo, hi) for lo, hi in out]
-
-
-def kept(text: str | None, ranges: list[dict] | None) -> tuple[bytes, list[tuple[int, int]]]:
-    """The bytes that stay and the runs that go."""
-    data = (text or "").encode("utf-8", "surrogatepass")
-    runs = merged(ranges)
-    at, out = 0, []
-    for lo, hi in runs:
-        out.append(data[at:lo])
-        at = hi
-    return b"".join([*out, data[at:]]), runs
-
-
-def with_ranges(df: DataFrame, **options: int) -> DataFrame:
-    """df (doc_id, text and any others) with its repeated ``ranges`` (null: none)."""
-    names = {"key_id", "key_text", "ranges"}
-    own = df.select(*[df[f"`{c}`"] for c in df.columns if c.lower() not in names])
-    found = repeated_ranges(own.select(*text_key(), "text"), **options)
-    return own.select("*", *text_key()).join(found, ["key_id", "key_text"], "left").drop("key_id", "key_text")
+    order = np.argsort(lo, kind="stable")
+    lo, reach = lo[order], np.maximum.accumulate(hi[order]) if len(hi) else hi
+    first = np.flatnonzero(np.concatenate([[True], lo[1:] > reach[:-1]])) if len(lo) else np.zeros(0, np.int64)
+    return lo[first], reach[np.append(first[1:], len(lo)) - 1] if len(lo) else hi
+
+
+def kept(data: bytes, lo: np.ndarray, hi: np.ndarray) -> bytes:
+    """The bytes outside of maximal runs."""
+    ends = zip([0, *hi.tolist()], [*lo.tolist(), len(data)], strict=True)
+    return b"".join(data[a:b] for a, b in ends)
+
+
+def _treated(df: DataFrame, fields: list[T.StructField], one: Callable, **options: int) -> DataFrame:
+    """Columns of df but for its text, and the fields that one(bytes or None, lo, hi) gives each row."""
+    length = options.get("length", LENGTH)
+    shelf = Shelf(df)
+    if not shelf.files:
+        return df.sparkSession.createDataFrame([], T.StructType([*[df.schema[c] for c in shelf.names], *fields]))
+    ranges, folders = repeated_ranges(shelf, **options)
+    schema = T.StructType([T.StructField("rest", shelf.rest_type()), *fields])
+
+    def make(rows: pa.RecordBatch, asked: pa.Table) -> Iterator[pa.RecordBatch]:
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        target = to_arrow_schema(schema)
+        row, at, size = (asked.column(c).to_numpy() for c in ("row", "at", "size"))
+        number = rows.column(0).to_numpy()
+        begin, end = np.searchsorted(row, number), np.searchsorted(row, number, side="right")
+        made = [one(t, *merged(at[a:b], at[a:b] + size[a:b] + length - 1)) for t, a, b in zip(rows.column(1).to_pylist(), begin, end, strict=True)]
+        arrays = [pa.array(c, f.type) for c, f in zip(zip(*made, strict=True), list(target)[1:], strict=True)]
+        yield pa.RecordBatch.from_arrays([conform(rows.column(2), target.field(0).type), *arrays], schema=target)
+
+    done, path = stored(shelf.visit(ranges, make, schema, columns=("text", "rest"), every=True), "treated")
+    for folder in folders:
+        delete(shelf.spark, folder)
+    shelf.drop()
+    release(shelf.spark)
+    return shelf.restored(done, *[f.name for f in fields])
 
 
 FIELDS = [
@@ -389,32 +386,26 @@ FIELDS = [
 ]
 
 
-def measured(df: DataFrame) -> DataFrame:
+def measured(df: DataFrame, **options: int) -> DataFrame:
     """doc_id and what removal does to each row of df (doc_id, text)."""
-    pairs = with_ranges(df.select("doc_id", "text")).select("doc_id", F.struct("text", "ranges").alias("both"))
-
-    def one(both: dict) -> tuple:
-        left, runs = kept(both["text"], both["ranges"])
-        gone = sum(hi - lo for lo, hi in runs)
-        return len(left) + gone, gone, len(runs), hashlib.sha256(left).hexdigest()
 
-    def make(rows: list) -> list[list]:
-        return [list(c) for c in zip(*map(one, rows), strict=True)] if rows else [[] for _ in FIELDS]
+    def one(text: bytes | None, lo: np.ndarray, hi: np.ndarray) -> tuple:
+        data = text or b""
+        return len(data), int((hi - lo).sum()), len(lo), hashlib.sha256(kept(data, lo, hi)).hexdigest()
 
-    return add_columns(pairs, "both", FIELDS, make).drop("both")
+    return _treated(df.select("doc_id", "text"), FIELDS, one, **options)
 
 
-def without_repeats(df: DataFrame) -> DataFrame:
+def without_repeats(df: DataFrame, **options: int) -> DataFrame:
     """df (doc_id, text and any others) with the repeated bytes cut out of the texts.
 
     A character that loses some of its bytes goes as a whole.
     """
-    pairs = with_ranges(df)
-    rest = [c for c in pairs.columns if c not in ("text", "ranges")]
-    packed = pairs.select(*rest, F.struct("text", "ranges").alias("both_"))
 
-    def make(rows: list) -> list[list]:
-        return [[kept(b["text"], b["ranges"])[0].decode("utf-8", "ignore") if b["ranges"] else b["text"] for b in rows]]
+    def one(text: bytes | None, lo: np.ndarray, hi: np.ndarray) -> tuple:
+        return (text.decode("utf-8", "ignore") if not len(lo) else kept(text, lo, hi).decode("utf-8", "ignore")) if text is not None else None,
 
-    done = add_columns(packed, "both_", [T.StructField("cut_", T.StringType())], make)
-    return done.select(*[done["cut_"].alias(c) if c == "text" else done[f"`{c}`"] for c in df.columns if c == "text" or c in rest])
+    own = next(c for c in df.columns if c.lower() == "text")
+    hidden = next(n for i in range(len(df.columns) + 1) if (n := f"text_{i}") not in {c.lower() for c in df.columns})
+    done = _treated(df, [T.StructField(hidden, T.StringType())], one, **options)
+    return done.select(*[done[hidden].alias(c) if c == own else done[f"`{c}`"] for c in df.columns])
