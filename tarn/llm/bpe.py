@@ -8,7 +8,7 @@ that died, and the live neighbour before it), each updated up its path.
 
 Short pieces of one size class share one array of trees, so that a step merges
 in all of them at once; long pieces use one tree each. Pieces are independent,
-so their ids are remembered, up to CACHE pieces for each worker.
+so their ids are remembered, up to about CACHE_BYTES for each worker.
 
 Defined cases: a null or empty text has no ids; any bytes decode back exactly;
 a text without white space is one long piece and takes n log n steps.
@@ -24,8 +24,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-#: Pieces that a worker remembers before it starts anew.
-CACHE = 400_000
+#: Bytes of pieces and ids that a worker remembers before it starts anew, about.
+CACHE_BYTES = 120 << 20
 #: Pieces of up to this many bytes are merged in step with others.
 SHORT = 128
 #: Bytes of the trees that are merged in step.
@@ -57,6 +57,7 @@ class Codec:
         self.keys = np.fromiter(sorted(pairs), np.int64, len(pairs))
         self.ranks = np.array([pairs[k] for k in self.keys.tolist()], np.int64)
         self.known: dict[str, tuple[int, ...]] = {}
+        self.held = 0
 
     def _pair_rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         key = a * self.base + b
@@ -163,12 +164,15 @@ class Codec:
 
     def encode(self, texts: list[str | None]) -> list[list[int]]:
         """Ids of each text; null is empty."""
-        if len(self.known) > CACHE:
+        if self.held > CACHE_BYTES:
             self.known.clear()
+            self.held = 0
         split = [self.split(t) if t else [] for t in texts]
         new = set().union(*split).difference(self.known) if split else set()
         if new:
             self.learn(new)
+            # Keys and lists of ids as Python holds them, about.
+            self.held += sum(200 + 10 * len(p) for p in new)
         ids = self.known.__getitem__
         return [list(chain.from_iterable(map(ids, pieces))) for pieces in split]
 

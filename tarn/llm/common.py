@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
 import zipfile
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 import pyarrow as pa
@@ -98,12 +100,15 @@ def add_columns(
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share: spark.checkpoint.dir.
 
-    Where that is unset (a local session, as in tests) a temporary folder is
-    made and set as the checkpoint folder of the session.
+    Where that is unset in a local session, as in tests, a temporary folder is
+    made and set as the checkpoint folder of the session; a cluster has no folder
+    to guess, so it is an error there.
     """
     conf = spark.sparkContext.getConf()
     found = conf.get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="tarn-shared-")
         spark.sparkContext.setCheckpointDir(found)
         spark.conf.set("spark.checkpoint.dir", found)
@@ -112,14 +117,31 @@ def shared_dir(spark: SparkSession) -> str:
 
 def delete(spark: SparkSession, path: str) -> None:
     """Deletes a folder through Spark's own file systems."""
+    _scratches.discard(path)
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+#: Folders that operators made and that may still be read.
+_scratches: set[str] = set()
+
+
+@contextmanager
+def swept(spark: SparkSession):
+    """Deletes at the end what operators left in the shared folder meanwhile, but for the folders added to the list that it gives."""
+    before, kept = set(_scratches), []
+    try:
+        yield kept
+    finally:
+        for path in _scratches - before - set(kept):
+            delete(spark, path)
+
+
 def scratch(spark: SparkSession, what: str) -> str:
     """A new folder name under the shared folder, deleted when the driver ends."""
     path = f"{shared_dir(spark)}/tarn-{what}-{uuid.uuid4().hex}"
+    _scratches.add(path)
 
     def end() -> None:
         if spark.sparkContext._jsc is not None and spark.sparkContext._jsc.sc() is not None:
@@ -148,6 +170,21 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def text_key(doc_id: str = "doc_id", text: str = "text") -> list[Column]:
-    """Columns that tell rows apart except exact repetitions of a whole row."""
-    return [F.coalesce(F.col(doc_id), F.lit(-(2**63))).alias("key_id"), F.xxhash64(F.col(text)).alias("key_text")]
+#: A struct that carries all columns of a table past an operator.
+BOX = "box_of_columns"
+
+
+def boxed(df: DataFrame, *needed: str) -> DataFrame:
+    """The needed columns of df and a struct of all its columns, so that none of them can clash with an operator's names."""
+    return df.select(*[df[f"`{c}`"].alias(c) for c in needed], F.struct(*[df[f"`{c}`"].alias(c) for c in df.columns]).alias(BOX))
+
+
+def unboxed(df: DataFrame, names: list[str], **changed: Column) -> DataFrame:
+    """The columns that boxed() put away, some of them changed (by name in lower case)."""
+    return df.select(*[changed.get(c.lower(), F.col(BOX).getField(c)).alias(c) for c in names])
+
+
+def fresh(name: str, taken: list[str]) -> str:
+    """A column name like ``name`` that none of the taken ones equals."""
+    lower = {t.lower() for t in taken}
+    return next(n for i in range(len(taken) + 1) if (n := f"{name}_{i}") not in lower)

@@ -10,9 +10,12 @@ gaps are never in Spark, and there are no conflicts. Lengths and gaps are at mos
 CAPACITY, so what the loop holds is bounded by CAPACITY, at any input. Ranks and
 places of the pieces are computed where the pieces are.
 
-Defined cases: a null or empty text is the end id alone; equal pieces take ranks
-in a fixed order; only documents over CAPACITY tokens are cut, and only their
-first piece may be shorter; an empty table gives no pieces.
+Defined cases: a null or empty text is the end id alone; a text that spells an
+added token gets that token's id, as the library gives it; equal pieces and those
+of repeated rows take ranks in a fixed order, each its own place; only documents
+over CAPACITY tokens are cut, and only their first piece may be shorter; texts of
+any length are encoded whole; an empty table gives no pieces; other columns are
+not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -30,10 +33,10 @@ from .common import arrow_map, rows_of, stored
 
 CAPACITY = 2048
 END = 0
-#: Parts of a length's pieces that are ranked apart.
-SALTS = 64
-#: Pieces of text that a worker remembers before it starts anew.
-CACHE = 500_000
+#: Pieces of one length that are ranked together, about.
+RANKED = 1 << 17
+#: Bytes of pieces of text and their ids that a worker remembers before it starts anew, about.
+CACHE_BYTES = 160 << 20
 #: Words that are encoded in one text.
 WORDS = 256
 
@@ -42,7 +45,8 @@ class Encoder:
     """Ids of texts by the tokenizers library, remembered for each match of its splitting pattern.
 
     The byte-level model splits a text by the pattern and merges inside each
-    match alone, so a match has the same ids wherever it stands.
+    match alone, so a match has the same ids wherever it stands. A text that holds
+    an added token, such as an end mark, goes to the library as a whole.
     """
 
     def __init__(self, path: str, pattern: str):
@@ -54,9 +58,11 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)
-        self.model.encode_special_tokens = True
+        #: Tokens that the library takes out of a text before it splits the rest.
+        self.added = [t.content for t in self.model.get_added_tokens_decoder().values()]
         self.split = regex.compile(pattern).findall
         self.known: dict[str, bytes] = {}
+        self.held = 0
         self.size = np.ones(1, np.int64)
 
     def _ids(self, texts: list[str]) -> list[np.ndarray]:
@@ -94,13 +100,22 @@ class Encoder:
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        if len(self.known) > CACHE:
+        if self.held > CACHE_BYTES:
             self.known.clear()
+            self.held = 0
+        whole = [i for i, t in enumerate(texts) if t and any(a in t for a in self.added)]
         split = [self.split(t) if t else [] for t in texts]
+        for i in whole:
+            split[i] = []
         if new := set().union(*split).difference(self.known):
             self.learn(list(new))
+            # Keys and values as Python holds them, about.
+            self.held += sum(150 + 5 * len(p) for p in new)
         ids = self.known.__getitem__
-        return [b"".join(map(ids, pieces)) for pieces in split]
+        out = [b"".join(map(ids, pieces)) for pieces in split]
+        for i in whole:
+            out[i] = self._ids([texts[i]])[0].tobytes()
+        return out
 
 
 _encoders: dict[tuple[str, str], Encoder] = {}
@@ -180,13 +195,19 @@ def best_fit(counts: np.ndarray, capacity: int = CAPACITY) -> np.ndarray:
 def packed(cuts: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """Stored pieces with sequence_id and offset."""
     order = ["doc_id", "piece", "start", "ids_crc32"]
-    salted = cuts.withColumn("salt", F.pmod(F.xxhash64(*order), F.lit(SALTS)).cast("int"))
-    # One row for each length and salt: at most CAPACITY * SALTS, at any input.
+    spark = cuts.sparkSession
+    # One row for each length: at most CAPACITY, at any input.
+    counts = {r.length: r["count"] for r in cuts.groupBy("length").count().collect()}
+    # A length is ranked in parts, as many as its pieces need.
+    parts = {n: -(-c // RANKED) for n, c in counts.items()}
+    salts = spark.createDataFrame([(n, k) for n, k in parts.items()], "length long, parts long")
+    salted = cuts.join(F.broadcast(salts), "length").select(*[f.name for f in PIECE], F.pmod(F.xxhash64(*order), F.col("parts")).cast("int").alias("salt"))
+    # One row for each part: at most CAPACITY and one in RANKED pieces.
     seen = salted.groupBy("length", "salt").count().toPandas()
-    table = np.zeros((capacity + 1, SALTS), np.int64)
+    table = np.zeros((capacity + 1, max(parts.values(), default=1)), np.int64)
     table[seen["length"].to_numpy(np.int64), seen["salt"].to_numpy(np.int64)] = seen["count"].to_numpy(np.int64)
     longest_first = table[::-1].ravel()
-    base = (np.cumsum(longest_first) - longest_first).reshape(capacity + 1, SALTS)[::-1].copy()
+    base = (np.cumsum(longest_first) - longest_first).reshape(table.shape)[::-1].copy()
     plan = best_fit(table.sum(axis=1), capacity)
     ranged = salted.repartitionByRange(F.desc("length"), F.asc("salt"))
     numbered = ranged.withColumn("k", F.row_number().over(Window.partitionBy("length", "salt").orderBy(*order)))

@@ -9,16 +9,22 @@ kind, and the posteriors train a logistic span classifier, which decides on the
 looser candidates in a second pass.
 
 Defined cases: a null or empty text has no spans; offsets count code points;
-spans of one kind never overlap; without any candidate nothing is added; every
-scan is linear in the length of the text.
+base spans of one kind never overlap, and looser ones overlap no span at all, of
+which the first, then the longest, then the kind that sorts first is taken;
+without any candidate nothing is added; repeated rows vote again, as any text
+does; texts of any length are scanned whole in about linear time; an empty table
+gives an empty table; other columns come back unchanged, but ``with_spans``
+replaces those with the names of the new ones (in any case).
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import add_columns, arrow_map, rows_of
+from .common import add_columns, arrow_map, fresh, rows_of
 
 KINDS = ("email", "ip", "card", "phone", "secret")
 BASE = KINDS[:4]
@@ -119,20 +125,17 @@ def candidates(text: str) -> tuple[list, list]:
     """Base spans, and looser spans that overlap neither those nor each other."""
     base = base_spans(text)
     taken = sorted((lo, hi) for _, lo, hi in base)
+    begin = [lo for lo, _ in taken]
+    # The furthest end of the base spans so far: one of them overlaps if it passes a candidate's start.
+    reach = list(accumulate((hi for _, hi in taken), max))
     extra: list[tuple[str, int, int]] = []
     for kind, lo, hi in sorted(_loose(text), key=lambda s: (s[1], -s[2], s[0])):
-        if not any(a < hi and lo < b for a, b in _near(taken, lo, hi)) and not (extra and extra[-1][2] > lo):
+        before = bisect_left(begin, hi)
+        if not (before and reach[before - 1] > lo) and not (extra and extra[-1][2] > lo):
             extra.append((kind, lo, hi))
     return base, extra
 
 
-def _near(taken: list[tuple[int, int]], lo: int, hi: int) -> list[tuple[int, int]]:
-    from bisect import bisect_left
-
-    at = bisect_left(taken, (hi, 0))
-    return taken[max(0, at - 8) : at]
-
-
 def votes(text: str, kind: str, lo: int, hi: int, strict: bool) -> tuple[int, ...]:
     """Votes of the five labelers: 1 personal, -1 not, 0 abstains."""
     span = text[lo:hi]
@@ -305,7 +308,7 @@ def redact(df: DataFrame, weights: np.ndarray, text: str = "text") -> DataFrame:
         decided: dict[str, bool] = {}
         return [[one(t, decided) for t in texts]]
 
-    hidden = "redacted_text_"
+    hidden = fresh("redacted", df.columns)
     done = add_columns(df, text, [T.StructField(hidden, T.StringType())], make)
     return done.select(*[done[hidden].alias(c) if c.lower() == text.lower() else done[f"`{c}`"] for c in df.columns])
 

@@ -1,38 +1,55 @@
 """Quality rules in DataFrame functions only.
 
 Every text gets counts of words, symbols, repeated lines and repeated 3-word
-windows. Its words and word pairs are hashed into BUCKETS; two multinomials over
-the buckets, one of trusted texts and one of the whole raw corpus, give each
-bucket a log-likelihood ratio, and a text's score is the mean over its n-grams.
-The raw count of a bucket is taken less one, since a text that is scored adds to
-the raw corpus but, as a rule, not to the trusted texts.
+windows. Its different words, by 64-bit hash, and its different word pairs, by
+bucket, are counted over all documents (raw) and over the trusted ones (good), in
+one distributed table that grows with the words of the input. Words and pairs
+have buckets of their own, whose number follows the bytes of the input up to
+MOST_BUCKETS, so that the ratios can be a constant of the plan of the last pass.
+
+Of an n-gram in r other documents, good texts should hold due = r * G / R, where
+G and R are the sums of all good and raw counts; its evidence is the log of
+(good + SMOOTH) / (due + SMOOTH), so n-grams seen seldom weigh little at any size
+of input. A text's score is the mean evidence of its n-grams. The threshold is
+the QUANTILE of the scores of trusted texts that pass the base rules, each scored
+with its own n-grams left out of both counts, as any other text is; so it follows
+the input, and few clean texts fall below it.
+
 A mean over hundreds of n-grams hides a few telling ones, so single words count
-too, by their own 64-bit hashes: a word is damning when at least EXPECTED trusted
-texts would hold it if it were spread evenly, and at most one in RARE of these
-do. A word must also lie in texts of SPREAD of 64 classes of text hashes, so that
-copies of one text damn nothing. A text is kept when no base rule rejects it, the
-score reaches THRESHOLD and it holds no damning word, so the same text always has
-the same verdict.
+too, by their exact hashes: a word is damning when at least EXPECTED trusted
+texts are due to hold it and at most one in RARE of these do. A word must also lie
+in texts of SPREAD of 64 classes of text hashes, so that copies of one text damn
+nothing. A text is kept when no base rule rejects it, its score reaches the
+threshold and it holds no damning word; the same text always has one verdict.
 
 The trusted texts are at most TRUSTED labelled documents (quality 1, toxic 0),
-those of least hash; raw counts are over every document. The table of ratios has
-BUCKETS entries at any size of input and is a constant of the second plan. Words
-are counted in a distributed table that grows with them; damning ones are at most
-1/EXPECTED of the words of the trusted texts, at any size of input.
+those of least hash; damning words are at most 1/EXPECTED of the n-grams of the
+trusted texts, at any size of input.
 
 Defined cases: a null or wordless text has zero counts, score zero and fails the
-base rules; a text of one word has a single n-gram; repeated labels count once;
-without trusted texts all ratios are zero and the base rules decide.
+base rules; a text of one word has a single n-gram; texts of any length are read
+whole; an n-gram counts once in a text, so a very long text has no more weight
+than its different n-grams; repeated rows are further documents; repeated labels
+count once; without trusted texts that pass the base rules, scores are zero or
+decide nothing and the base rules decide; an empty table gives an empty table;
+other columns come back unchanged, but those with the names of the new ones (in
+any case) are replaced.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-BUCKETS = 1 << 15
+from .common import stored
+
+#: Buckets of words, and as many of pairs: the least and the most.
+LEAST_BUCKETS = 1 << 12
+MOST_BUCKETS = 1 << 16
 TRUSTED = 20_000
-THRESHOLD = -0.08
+QUANTILE = 0.005
 SMOOTH = 1.0
 EXPECTED = 8
 RARE = 10
@@ -63,9 +80,16 @@ def _pairs(h: Column) -> Column:
     return F.transform(F.slice(h, 2, F.greatest(F.size(h) - 1, F.lit(0))), lambda b, i: F.xxhash64(h[i], b))
 
 
-def buckets(h: Column) -> Column:
-    """Buckets of the words and word pairs of hashed words."""
-    return F.transform(F.concat(h, _pairs(h)), lambda x: F.pmod(x, F.lit(BUCKETS)).cast("int"))
+def grams(h: Column, size: int) -> Column:
+    """Different n-grams of hashed words: hashes of words, and buckets of pairs (from 0 to size - 1)."""
+    pairs = F.transform(_pairs(h), lambda x: F.pmod(x, F.lit(size)))
+    return F.concat(F.array_distinct(h), F.array_distinct(pairs))
+
+
+def buckets_for(octets: int) -> int:
+    """A power of two that follows the number of different n-grams to expect in so many bytes."""
+    wanted = max(1, octets) ** 0.7 / 4
+    return min(MOST_BUCKETS, max(LEAST_BUCKETS, 1 << round(math.log2(max(1, wanted)))))
 
 
 def repeated(h: Column) -> Column:
@@ -88,12 +112,12 @@ def repeated(h: Column) -> Column:
     return let(windows, counted)
 
 
-def base_counts(text: Column) -> list[Column]:
-    """Base columns from a text and the column ``words_`` beside it."""
+def base_counts(text: Column, listed: Column) -> list[Column]:
+    """Base columns from a text and its words."""
     lines = F.filter(F.split(F.coalesce(text, F.lit("")), "\n"), lambda line: line.rlike(WORD))
     return [
-        F.size("words_").cast("long").alias("n_words"),
-        F.length(F.array_join("words_", "")).cast("long").alias("word_chars"),
+        F.size(listed).cast("long").alias("n_words"),
+        F.length(F.array_join(listed, "")).cast("long").alias("word_chars"),
         F.regexp_count(F.coalesce(text, F.lit("")), F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"),
         let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
     ]
@@ -107,55 +131,82 @@ def marked(docs: DataFrame, labels: DataFrame, trusted: int = TRUSTED) -> DataFr
     return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id", "left")
 
 
-def damning(docs: DataFrame, labels: DataFrame, trusted: int = TRUSTED) -> list[int]:
-    """Hashes of the words that trusted texts avoid."""
-    known = marked(docs, labels, trusted)
-    n, good = known.agg(F.count(F.lit(1)), F.count("trusted_")).first()
-    if not good:
-        return []
-    kind = F.expr("shiftleft(1L, cast(pmod(xxhash64(text), 64) AS int))")
-    held = known.select("trusted_", kind.alias("kind"), F.explode(F.array_distinct(hashes(words(F.col("text"))))).alias("word"))
-    counts = held.groupBy("word").agg(F.count(F.lit(1)).alias("raw"), F.count("trusted_").alias("good"), F.bit_or("kind").alias("kinds"))
-    due = F.col("raw") * F.lit(good / n)
-    found = counts.filter((due >= EXPECTED) & (RARE * F.col("good") <= due) & (F.bit_count("kinds") >= SPREAD))
-    return sorted(r.word for r in found.select("word").collect())
-
-
-def ratios(docs: DataFrame, labels: DataFrame, trusted: int = TRUSTED) -> DataFrame:
-    """One row with the array of log-likelihood ratios by bucket."""
-    grams = marked(docs, labels, trusted).select("trusted_", let(hashes(words(F.col("text"))), buckets).alias("b"))
-    each = grams.select("trusted_", F.explode("b").alias("bucket"))
-    counts = each.groupBy("bucket").agg(F.count(F.lit(1)).alias("raw"), F.count("trusted_").alias("good"))
-    spark = docs.sparkSession
-    full = spark.range(BUCKETS).select(F.col("id").cast("int").alias("bucket")).join(counts, "bucket", "left").na.fill(0, ["raw", "good"])
-    listed = full.agg(F.array_sort(F.collect_list(F.struct("bucket", "raw", "good"))).alias("t"), F.sum("raw").alias("r"), F.sum("good").alias("g"))
-    log = lambda n, total: F.log((n + SMOOTH) / (total + SMOOTH * BUCKETS))
-    ratio = F.when(F.col("g") > 0, F.transform("t", lambda x: (log(x["good"], F.col("g")) - log(F.greatest(x["raw"] - 1, F.lit(0)), F.col("r"))).cast("float"))).otherwise(F.array_repeat(F.lit(0.0).cast("float"), BUCKETS))
-    return listed.select(ratio.alias("ratios"))
-
-
-def constant(ratio: DataFrame) -> Column:
-    """The array of a one-row table of BUCKETS ratios as a foldable expression."""
-    values = ratio.first()[0]
-    return F.split(F.lit(",".join(f"{v:.6g}" for v in values)), ",").cast("array<float>")
-
-
-def rules(docs: DataFrame, ratio: Column, threshold: float = THRESHOLD, avoided: list[int] | None = None) -> DataFrame:
+class Evidence:
+    """What the corpus says: counts of n-grams, ratios by bucket, damning words and the threshold."""
+
+    def __init__(self, docs: DataFrame, labels: DataFrame, trusted: int = TRUSTED):
+        self.known = marked(docs, labels, trusted)
+        octets, self.good = self.known.agg(F.sum(F.octet_length("text")), F.count("trusted_")).first()
+        self.size = buckets_for(octets or 0)
+        if not self.good:
+            return
+        kind = F.expr("shiftleft(1L, cast(pmod(xxhash64(text), 64) AS int))")
+        held = self.known.select("trusted_", kind.alias("kind"), F.explode(let(hashes(words(F.col("text"))), lambda h: grams(h, self.size))).alias("gram"))
+        counts = held.groupBy("gram").agg(F.count(F.lit(1)).alias("raw"), F.count("trusted_").alias("good"), F.bit_or("kind").alias("kinds"))
+        self.counts, _ = stored(counts, "grams")
+        self.raw_sum, self.good_sum = self.counts.agg(F.sum("raw"), F.sum("good")).first()
+        self.raw, self.each_good = self._table()
+
+    def is_pair(self) -> Column:
+        return F.col("gram").between(0, self.size - 1)
+
+    def _table(self) -> tuple[list[int], list[int]]:
+        """Raw and good counts of the buckets of words, then of those of pairs; at most 2 * MOST_BUCKETS rows come to the driver."""
+        place = F.when(self.is_pair(), F.col("gram") + self.size).otherwise(F.pmod("gram", F.lit(self.size))).cast("int")
+        raw, good = [0] * (2 * self.size), [0] * (2 * self.size)
+        for r in self.counts.groupBy(place.alias("place")).agg(F.sum("raw").alias("raw"), F.sum("good").alias("good")).collect():
+            raw[r.place], good[r.place] = r.raw, r.good
+        return raw, good
+
+    def ratios(self, own: int = 0) -> list[float]:
+        """Evidence of each bucket for a text that is in the raw counts, and ``own`` times in the good ones."""
+        if not self.good:
+            return [0.0] * (2 * self.size)
+        share = (self.good_sum / self.raw_sum) if self.raw_sum else 0.0
+        return [math.log((max(0, g - own) + SMOOTH) / (max(0, r - 1) * share + SMOOTH)) for r, g in zip(self.raw, self.each_good, strict=True)]
+
+    def damning(self) -> list[int]:
+        """Hashes of the words that trusted texts avoid."""
+        if not self.good:
+            return []
+        due = F.col("raw") * F.lit(self.good_sum / self.raw_sum if self.raw_sum else 0.0)
+        found = self.counts.filter(~self.is_pair() & (due >= EXPECTED) & (RARE * F.col("good") <= due) & (F.bit_count("kinds") >= SPREAD))
+        return sorted(r.gram for r in found.select("gram").collect())
+
+    def threshold(self) -> float:
+        """The QUANTILE of the scores of trusted texts that are left out of the counts."""
+        if not self.good:
+            return -math.inf
+        own = rules(self.known.filter("trusted_ = 1").select("doc_id", "text"), constant(self.ratios(own=1)), self.size, -math.inf)
+        found = own.filter(~F.col("base_failed")).agg(F.percentile("score", F.lit(QUANTILE))).first()[0]
+        return -math.inf if found is None else found
+
+
+def constant(values: list[float]) -> Column:
+    """A bounded list of numbers as a foldable expression."""
+    return F.split(F.lit(",".join(f"{v:.5g}" for v in values)), ",").cast("array<float>")
+
+
+def rules(docs: DataFrame, ratio: Column, size: int, threshold: float, avoided: list[int] | None = None) -> DataFrame:
     """docs (doc_id, text and any others) with base counts, score and verdict; avoided are hashes of damning words."""
-    made = docs.withColumn("words_", words(F.col("text"))).withColumn("hash_", hashes(F.col("words_")))
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "score", "base_failed", "kept"]
-    kept = [docs[f"`{c}`"] for c in docs.columns if c.lower() not in names]
+    kept = [c for c in docs.columns if c.lower() not in names]
+    # Columns of the input travel in a struct, beside which no name is taken.
+    made = docs.select(F.struct(*[docs[f"`{c}`"].alias(c) for c in kept]).alias("box"), docs["text"].alias("text"), words(docs["text"]).alias("words")).withColumn("hash", hashes(F.col("words")))
 
-    def mean(b: Column, table: Column) -> Column:
-        total = F.aggregate(b, F.lit(0.0), lambda a, x: a + table[x])
-        return F.when(F.size(b) > 0, total / F.size(b)).otherwise(F.lit(0.0))
+    def mean(h: Column) -> Column:
+        word = F.transform(F.array_distinct(h), lambda x: F.pmod(x, F.lit(size)).cast("int"))
+        pair = F.transform(F.array_distinct(F.transform(_pairs(h), lambda x: F.pmod(x, F.lit(size)).cast("int"))), lambda x: x + size)
+        return let(F.concat(word, pair), lambda at: F.when(F.size(at) > 0, F.aggregate(at, F.lit(0.0), lambda a, x: a + ratio[x]) / F.size(at)).otherwise(F.lit(0.0)))
 
-    damned = F.expr(f"exists(hash_, x -> x in ({', '.join(f'{a}L' for a in avoided)}))") if avoided else F.lit(False)
-    scored = made.select(*kept, damned.alias("damned_"), *base_counts(F.col("text")), let(F.col("hash_"), repeated).alias("n_repeat_words"), let(F.col("hash_"), lambda h: let(buckets(h), lambda b: mean(b, ratio))).alias("score"))
+    damned = F.expr(f"exists(hash, x -> x in ({', '.join(f'{a}L' for a in avoided)}))") if avoided else F.lit(False)
+    scored = made.select("box", damned.alias("damned"), *base_counts(F.col("text"), F.col("words")), let(F.col("hash"), repeated).alias("n_repeat_words"), let(F.col("hash"), mean).alias("score"))
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    return scored.withColumn("base_failed", failed).withColumn("kept", ~failed & (F.col("score") >= threshold) & ~F.col("damned_")).drop("damned_")
+    judged = scored.withColumn("base_failed", failed).withColumn("kept", ~failed & (F.col("score") >= threshold) & ~F.col("damned"))
+    return judged.select(*[F.col("box").getField(c).alias(c) for c in kept], *names)
 
 
-def judge(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """Both passes: ratios and damning words over all documents, then every document's verdict."""
-    return rules(docs, constant(ratios(docs, labels)), threshold, damning(docs, labels))
+def judge(docs: DataFrame, labels: DataFrame, threshold: float | None = None) -> DataFrame:
+    """Both passes: evidence over all documents, then every document's verdict; threshold overrides that of the evidence."""
+    found = Evidence(docs, labels)
+    return rules(docs, constant(found.ratios()), found.size, found.threshold() if threshold is None else threshold, found.damning())

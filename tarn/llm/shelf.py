@@ -33,22 +33,21 @@ def open_store(uri: str):
     return fs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("/") else uri.replace("file:", "file://", 1))
 
 
-def _file_rows(uris: list[str], columns: list[str]) -> Iterator[pa.RecordBatch]:
+def _file_rows(uri: str, columns: list[str]) -> Iterator[pa.RecordBatch]:
     import pyarrow.parquet as pq
 
-    for uri in uris:
-        store, path = open_store(uri)
-        with store.open_input_file(path) as f:
-            for batch in pq.ParquetFile(f, coerce_int96_timestamp_unit="us").iter_batches(SLICE_ROWS, columns=columns):
-                if batch.num_rows:
-                    yield batch
+    store, path = open_store(uri)
+    with store.open_input_file(path) as f:
+        for batch in pq.ParquetFile(f, coerce_int96_timestamp_unit="us").iter_batches(SLICE_ROWS, columns=columns):
+            if batch.num_rows:
+                yield batch
 
 
-def _meet(batches: Iterator[pa.RecordBatch], columns: list[str], every: bool) -> Iterator[tuple[pa.RecordBatch, pa.Table]]:
+def _meet(batches: Iterator[pa.RecordBatch], named: str, columns: list[str], every: bool) -> Iterator[tuple[pa.RecordBatch, pa.Table]]:
     """Batches of file rows, each with what is asked of them; both sides are read once, in order.
 
-    The first column of what is asked is the row number and the second the files
-    to open, null but for the mark that stands before what is asked of a file.
+    The first column of what is asked is the row number; the second is -1 in the
+    row that stands before what is asked of a file.
     """
     pa.set_memory_pool(pa.system_memory_pool())
     rows: Iterator[pa.RecordBatch] = iter(())
@@ -63,13 +62,14 @@ def _meet(batches: Iterator[pa.RecordBatch], columns: list[str], every: bool) ->
 
     for batch in batches:
         schema = batch.schema
-        marks = np.flatnonzero(batch.column(1).is_valid().to_numpy(zero_copy_only=False)).tolist()
+        mark = batch.column(1).to_numpy()
+        marks = np.flatnonzero(mark < 0).tolist()
         ends = [0, *marks, batch.num_rows]
         for at, to in zip(ends, ends[1:], strict=False):
             part = batch.slice(at, to - at)
-            if to > at and part.column(1).is_valid()[0].as_py():
+            if to > at and mark[at] < 0:
                 yield from end()
-                rows, now, asked = _file_rows(part.column(1)[0].as_py(), columns), None, []
+                rows, now, asked = _file_rows(named.format(part.column(0)[0].as_py() >> 33), columns), None, []
                 part = part.slice(1)
             while part.num_rows:
                 if now is None:
@@ -93,39 +93,40 @@ class Shelf:
         self.names = [c for c in df.columns if c.lower() != text.lower()]
         rest = F.struct(*[df[f"`{c}`"].alias(c) for c in self.names]) if self.names else F.struct(F.lit(True).alias("none"))
         made = df.select(F.monotonically_increasing_id().alias("row"), df[f"`{text}`"].cast("binary").alias("text"), rest.alias("rest"))
-        made.write.option("compression", "zstd").option("parquet.block.size", GROUP_BYTES).parquet(self.path)
+        made.write.option("compression", "zstd").option("parquet.block.size", GROUP_BYTES).option("maxRecordsPerFile", 0).parquet(self.path)
         self.schema = made.schema
         self.rows = self.spark.read.schema(made.schema).parquet(self.path)
-        self.files: dict[int, list[str]] = {}
-        for uri in sorted(self.rows.inputFiles()):
-            self.files.setdefault(int(uri.rpartition("/part-")[2].split("-")[0]), []).append(uri)
+        #: Files by number. Their names differ in it alone.
+        self.files = {int(uri.rpartition("/part-")[2].split("-")[0]): uri for uri in self.rows.inputFiles()}
+        folder, _, name = next(iter(self.files.values()), "").rpartition("/part-")
+        self.named = f"{folder}/part-{{:05d}}-{name.partition('-')[2]}"
+        if any(self.named.format(k) != uri for k, uri in self.files.items()):
+            raise RuntimeError(f"unexpected names of files in {self.path}")
 
     def batch(self, i: int, n: int) -> DataFrame:
         """The rows of every n-th file from the i-th on."""
-        own = [uri for k, uris in self.files.items() if k % n == i for uri in uris]
+        own = [uri for k, uri in self.files.items() if k % n == i]
         return self.spark.read.schema(self.schema).parquet(*own) if own else self.rows.limit(0)
 
     def visit(self, asked: DataFrame, make: Callable[[pa.RecordBatch, pa.Table], Iterator[pa.RecordBatch]], schema: str | T.StructType, columns: tuple[str, ...] = ("text",), every: bool = False) -> DataFrame:
         """What make(rows, asked) returns for batches of rows and the asked rows that belong to them.
 
-        ``asked`` starts with the column ``row``; rows of a file come in order, and
-        what is asked of a row is sorted by all its columns. Rows of which nothing
-        is asked may be left out, unless ``every`` is set. make gets tables of
-        (row, *columns) and (row, files, *others), where files is null.
+        ``asked`` starts with the column ``row`` and holds longs; rows of a file come
+        in order, and what is asked of a row is sorted by all its columns. Rows of
+        which nothing is asked may be left out, unless ``every`` is set. make gets
+        tables of (row, *columns) and (row, mark, *others), where mark is zero.
         """
         if not self.files:
             return self.spark.createDataFrame([], schema)
         others = asked.columns[1:]
-        marks = self.spark.createDataFrame([(k << 33, v) for k, v in self.files.items()], "row long, files array<string>")
-        marks = marks.select("row", "files", *[F.lit(None).cast(asked.schema[c].dataType).alias(c) for c in others])
-        none = F.lit(None).cast("array<string>").alias("files")
-        both = marks.union(asked.select("row", none, *others))
+        marks = self.spark.createDataFrame([(k << 33,) for k in self.files], "row long").select("row", F.lit(-1).alias("mark"), *[F.lit(-1).cast("long").alias(c) for c in others])
+        both = marks.union(asked.select("row", F.lit(0), *others))
         dealt = both.repartitionById(max(self.files) + 1, F.shiftright("row", 33).cast("int"))
-        ordered = dealt.sortWithinPartitions("row", F.col("files").isNull(), *others)
-        wanted = ["row", *columns]
+        ordered = dealt.sortWithinPartitions("row", "mark", *others)
+        named, wanted = self.named, ["row", *columns]
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for rows, own in _meet(batches, wanted, every):
+            for rows, own in _meet(batches, named, wanted, every):
                 yield from make(rows, own)
 
         return arrow_map(ordered, run, schema)

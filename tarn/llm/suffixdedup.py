@@ -48,7 +48,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_map, delete, release, rows_of, stored
+from .common import arrow_map, delete, fresh, release, rows_of, stored
 from .shelf import Shelf, conform
 
 LENGTH = 200
@@ -251,19 +251,14 @@ class SuffixIndex:
         return rows.groupBy("anchor", "stretch").agg(F.sum("n").alias("n")) if len(self.arrays) > 1 else rows
 
     def fates(self) -> DataFrame:
-        """(anchor, stretch, n, kinds) of the entries that a match reaches; ``kinds`` is how many different stretches the anchor has."""
+        """(anchor, stretch, n) of the entries that a match reaches."""
         anchors = self.matches[0][0]
         for more, _ in self.matches[1:]:
             anchors = anchors.union(more)
         rows = self.arrays[0][1]
         for _, more, _ in self.arrays[1:]:
             rows = rows.union(more)
-        near = rows.join(anchors.distinct(), "anchor", "left_semi").groupBy("anchor", "stretch").agg(F.sum("n").alias("n"))
-        return _with_kinds(near, "anchor")
-
-    def scan(self, rows: DataFrame) -> DataFrame:
-        """(row, place, anchor, stretch, n, kinds): stretches of rows (row, text), all of which were added, that a match reaches."""
-        return places(rows, self.length, self.seed).join(self.fates(), ["anchor", "stretch"])
+        return rows.join(anchors.distinct(), "anchor", "left_semi").groupBy("anchor", "stretch").agg(F.sum("n").alias("n"))
 
     def drop(self) -> None:
         for path in [a[2] for a in self.arrays] + [m[1] for m in self.matches]:
@@ -271,10 +266,15 @@ class SuffixIndex:
         self.arrays, self.matches = [], []
 
 
-def _with_kinds(counts: DataFrame, key: str) -> DataFrame:
-    """counts (key, another, n) of the keys that occur twice, with the number of kinds of each key."""
-    twice = counts.groupBy(key).agg(F.count(F.lit(1)).alias("kinds"), F.sum("n").alias("total")).filter("total >= 2").drop("total")
-    return counts.join(twice, key)
+def _with_kinds(counts: DataFrame, key: str) -> tuple[DataFrame, list[str]]:
+    """counts (key, another, n) of the keys that occur twice, with the number of kinds of each key; and the folders that it reads.
+
+    Both sides are written before they are joined, so that a key of many kinds can
+    be split among tasks.
+    """
+    counts, path = stored(counts, "counts")
+    twice, twice_path = stored(counts.groupBy(key).agg(F.count(F.lit(1)).alias("kinds"), F.sum("n").alias("total")).filter("total >= 2").drop("total"), "twice")
+    return counts.join(twice, key), [path, twice_path]
 
 
 RUN = "row long, at long, dist long, size long"
@@ -304,25 +304,35 @@ def _cut(shelf: Shelf, runs: DataFrame, width: int, length: int) -> DataFrame:
     return shelf.visit(runs, make, CELL)
 
 
-def _refined(shelf: Shelf, runs: DataFrame, width: int, length: int) -> tuple[DataFrame, DataFrame, list[str]]:
-    """(row, at, size) of cells all of whose windows repeat, runs that are left, and the folders that both read."""
+def _refined(shelf: Shelf, runs: DataFrame, width: int, length: int) -> tuple[DataFrame, DataFrame, str]:
+    """(row, at, size) of cells all of whose windows repeat, runs that are left, and the folder that both read."""
     cut, cut_path = stored(_cut(shelf, runs, width, length), "cells")
-    counts = cut.groupBy("core", "extent").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("row", "at")).alias("first"))
-    judged, path = stored(cut.join(_with_kinds(counts, "core"), ["core", "extent"]), "judged")
-    left = judged.filter((F.col("kinds") >= 2) & ((F.col("n") == 1) | (F.col("first") == F.struct("row", "at"))))
-    return judged.filter("n >= 2").select("row", "at", "size"), left.select("row", "at", "dist", "size"), [cut_path, path]
+    counts, paths = _with_kinds(cut.groupBy("core", "extent").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("row", "at")).alias("first")), "core")
+    near = cut.join(counts, ["core", "extent"]).filter("n >= 2 or kinds >= 2")
+    again = (F.col("kinds") >= 2) & ((F.col("n") == 1) | (F.col("first") == F.struct("row", "at")))
+    judged, path = stored(near.select("row", "at", "dist", "size", (F.col("n") >= 2).alias("done"), again.alias("again")), "judged")
+    for folder in (cut_path, *paths):
+        delete(shelf.spark, folder)
+    return judged.filter("done").select("row", "at", "size"), judged.filter("again").select("row", "at", "dist", "size"), path
 
 
-def repeated_ranges(shelf: Shelf, length: int = LENGTH, seed: int = SEED, batches: int = BATCHES) -> tuple[DataFrame, list[str]]:
-    """(row, at, size) of runs of windows that repeat, overlapping and in any order, and the folders that it reads."""
+def repeated_ranges(shelf: Shelf, length: int = LENGTH, seed: int = SEED, batches: int = BATCHES) -> DataFrame:
+    """Stored (row, at, size) of runs of windows that repeat, overlapping and in any order."""
     if length - seed + 1 > 256:
         raise ValueError("a stretch has at most 256 windows")
     index = SuffixIndex(shelf.spark, length, seed)
     for i in range(batches):
         index.add(shelf.batch(i, batches).select("text"))
-    hits, hits_path = stored(index.scan(shelf.rows), "hits")
+    fates, paths = _with_kinds(index.fates(), "anchor")
     index.drop()
     release(shelf.spark)
+    found = places(shelf.rows, length, seed).join(fates, ["anchor", "stretch"])
+    # Fingerprints are needed once more only where an anchor has several kinds.
+    several = F.col("kinds") >= 2
+    hits, hits_path = stored(found.select("row", "place", "n", "kinds", *[F.when(several, F.col(c)).alias(c) for c in ("anchor", "stretch")]), "hits")
+    for folder in paths:
+        delete(shelf.spark, folder)
+    release(shelf.spark)
     run = ["row", F.shiftright("place", 16).alias("at"), F.shiftright("place", 8).bitwiseAND(F.lit(255)).alias("dist"), (F.col("place").bitwiseAND(F.lit(255)) + 1).alias("size")]
     found = hits.filter("n >= 2").select(run[0], run[1], run[3])
     # One of each stretch that occurs twice stands for it in what follows.
@@ -330,10 +340,13 @@ def repeated_ranges(shelf: Shelf, length: int = LENGTH, seed: int = SEED, batche
     one = mixed.filter("n >= 2").groupBy("anchor", "stretch").agg(F.min(F.struct("row", "place")).alias("s")).select("s.*")
     left, folders = mixed.filter("n = 1").select("row", "place").union(one).select(*run), [hits_path]
     for width in CELLS:
-        done, left, paths = _refined(shelf, left, width, length)
-        found, folders = found.union(done), folders + paths
+        done, left, path = _refined(shelf, left, width, length)
+        found, folders = found.union(done), [*folders, path]
         release(shelf.spark)
-    return found, folders
+    ranges, _ = stored(found, "ranges")
+    for folder in folders:
+        delete(shelf.spark, folder)
+    return ranges
 
 
 def merged(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -351,12 +364,15 @@ def kept(data: bytes, lo: np.ndarray, hi: np.ndarray) -> bytes:
 
 
 def _treated(df: DataFrame, fields: list[T.StructField], one: Callable, **options: int) -> DataFrame:
-    """Columns of df but for its text, and the fields that one(bytes or None, lo, hi) gives each row."""
+    """Columns of df but for its text, and the fields that one(bytes or None, lo, hi) gives each row.
+
+    It is computed where it is read, from what stays in the shared folder.
+    """
     length = options.get("length", LENGTH)
     shelf = Shelf(df)
     if not shelf.files:
         return df.sparkSession.createDataFrame([], T.StructType([*[df.schema[c] for c in shelf.names], *fields]))
-    ranges, folders = repeated_ranges(shelf, **options)
+    ranges = repeated_ranges(shelf, **options)
     schema = T.StructType([T.StructField("rest", shelf.rest_type()), *fields])
 
     def make(rows: pa.RecordBatch, asked: pa.Table) -> Iterator[pa.RecordBatch]:
@@ -370,12 +386,7 @@ def _treated(df: DataFrame, fields: list[T.StructField], one: Callable, **option
         arrays = [pa.array(c, f.type) for c, f in zip(zip(*made, strict=True), list(target)[1:], strict=True)]
         yield pa.RecordBatch.from_arrays([conform(rows.column(2), target.field(0).type), *arrays], schema=target)
 
-    done, path = stored(shelf.visit(ranges, make, schema, columns=("text", "rest"), every=True), "treated")
-    for folder in folders:
-        delete(shelf.spark, folder)
-    shelf.drop()
-    release(shelf.spark)
-    return shelf.restored(done, *[f.name for f in fields])
+    return shelf.restored(shelf.visit(ranges, make, schema, columns=("text", "rest"), every=True), *[f.name for f in fields])
 
 
 FIELDS = [
@@ -406,6 +417,6 @@ def without_repeats(df: DataFrame, **options: int) -> DataFrame:
         return (text.decode("utf-8", "ignore") if not len(lo) else kept(text, lo, hi).decode("utf-8", "ignore")) if text is not None else None,
 
     own = next(c for c in df.columns if c.lower() == "text")
-    hidden = next(n for i in range(len(df.columns) + 1) if (n := f"text_{i}") not in {c.lower() for c in df.columns})
+    hidden = fresh("text", df.columns)
     done = _treated(df, [T.StructField(hidden, T.StringType())], one, **options)
     return done.select(*[done[hidden].alias(c) if c == own else done[f"`{c}`"] for c in df.columns])

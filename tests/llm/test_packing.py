@@ -16,14 +16,13 @@ def reference(texts):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(MODEL)
-    t.encode_special_tokens = True
     return [e.ids + [0] for e in t.encode_batch([x or "" for x in texts], add_special_tokens=False)]
 
 
 def texts():
     rng = random.Random(3)
     word = lambda: "".join(rng.choice("abcdeéß漢 \n1.") for _ in range(rng.randint(1, 9)))
-    return [*ODD, "<|endoftext|> x", *(" ".join(word() for _ in range(rng.choice((3, 50, 400, 3000)))) for _ in range(60))]
+    return [*ODD, "<|endoftext|> hello", "a <|endoftext|><|endoftext|>\nb <|endoftext", "<|endoftext|>", *(" ".join(word() for _ in range(rng.choice((3, 50, 400, 3000)))) for _ in range(60))]
 
 
 def test_encoder_equals_the_library():

@@ -1,3 +1,4 @@
+import random
 import re
 from collections import Counter
 
@@ -35,24 +36,65 @@ def test_base_counts(docs, spark):
 
 
 def test_scores_against_brute_force(docs, spark):
+    """Scores, threshold and verdicts by counting different words, and pairs by bucket, in plain Python."""
+    from math import log
+
+    import numpy as np
+
     good = [" ".join(f"good{(i * j) % 83}" for j in range(1, 70)) for i in range(1, 9)]
     bad = [" ".join(f"junk{(i * j) % 83}" for j in range(1, 70)) for i in range(1, 9)]
     rows = list(enumerate(good + bad))
     labels = spark.createDataFrame([(i, 1, 0) for i in range(8)] * 2 + [(None, 1, 0), (9, 0, 0)], "doc_id long, quality int, toxic int")
     df = docs(rows)
-    grams = df.select("doc_id", quality.let(quality.hashes(quality.words(F.col("text"))), quality.buckets).alias("b")).collect()
+    size = quality.buckets_for(sum(len(t) for _, t in rows))
+    listed = {r.doc_id: r.h for r in df.select("doc_id", quality.hashes(quality.words(F.col("text"))).alias("h")).collect()}
+    paired = {r.doc_id: r.p for r in df.select("doc_id", quality._pairs(quality.hashes(quality.words(F.col("text")))).alias("p")).collect()}
+    own = {d: [("w", x) for x in set(listed[d])] + [("p", x) for x in {p % size for p in paired[d]}] for d in listed}
+    place = lambda g: g[1] % size if g[0] == "w" else size + g[1]
     raw, trusted = Counter(), Counter()
-    for r in grams:
-        raw.update(r.b)
-        trusted.update(r.b if r.doc_id < 8 else [])
-    from math import log
-
-    p = lambda c, b, less=0: log((max(0, c[b] - less) + quality.SMOOTH) / (sum(c.values()) + quality.SMOOTH * quality.BUCKETS))
-    want = {r.doc_id: sum(p(trusted, b) - p(raw, b, 1) for b in r.b) / len(r.b) for r in grams}
+    for d, g in own.items():
+        raw.update(map(place, g))
+        trusted.update(map(place, g) if d < 8 else [])
+    share = sum(trusted.values()) / sum(raw.values())
+    evidence = lambda b, left=0: log((max(0, trusted[b] - left) + 1) / (max(0, raw[b] - 1) * share + 1))
+    score = {d: sum(evidence(place(g)) for g in own[d]) / len(own[d]) for d in own}
+    out = {d: sum(evidence(place(g), 1) for g in own[d]) / len(own[d]) for d in range(8)}
     got = {r.doc_id: r for r in quality.judge(df, labels).collect()}
-    for i, w in want.items():
-        assert abs(got[i].score - w) < 1e-4
-        assert got[i].kept == (i < 8)
+    limit = np.quantile([out[d] for d in out if not got[d].base_failed], quality.QUANTILE)
+    for d, w in score.items():
+        assert abs(got[d].score - w) < 1e-4
+        assert got[d].kept == (not got[d].base_failed and w >= limit)
+        assert not got[d].kept or d < 8
+
+
+def test_verdicts_do_not_depend_on_size_or_on_the_label(docs, spark):
+    """Clean texts that nobody labelled are kept about as often as labelled ones, at any size."""
+    rng = random.Random(8)
+    for n in (120, 1000):
+        rows = [(i, " ".join(f"word{int(2000 * rng.random() ** 2)}" for _ in range(rng.choice((60, 150, 300))))) for i in range(n)]
+        rows += [(n + i, " ".join(f"junk{int(2000 * rng.random() ** 2)}" for _ in range(150))) for i in range(n // 5)]
+        known = spark.createDataFrame([(i, 1, 0) for i in range(0, n, 3)], "doc_id long, quality int, toxic int")
+        got = {r.doc_id: r.kept for r in quality.judge(docs(rows), known).collect()}
+        unlabelled = [got[i] for i in range(n) if i % 3]
+        assert sum(unlabelled) >= 0.95 * len(unlabelled) and all(got[i] for i in range(0, n, 3))
+        assert sum(got[n + i] for i in range(n // 5)) <= 0.1 * (n // 5)
+
+
+def test_buckets_follow_the_input():
+    sizes = [quality.buckets_for(n) for n in (0, 10**6, 10**7, 3 * 10**7, 10**14)]
+    assert sizes == sorted(sizes) and sizes[0] == quality.LEAST_BUCKETS and sizes[-1] == quality.MOST_BUCKETS and len(set(sizes)) >= 4
+
+
+def test_clashing_columns_and_long_texts(docs, spark):
+    rng = random.Random(1)
+    long = " ".join(f"w{rng.randrange(10**6)}" for _ in range(120_000))
+    names = ["words_", "hash_", "box", "words", "hash", "damned", "trusted_", "gram", "a.b"]
+    df = docs([(1, long), (2, None), (1, long)]).selectExpr("*", *[f"'{i}' AS `{n}`" for i, n in enumerate(names)])
+    got = quality.judge(df, spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int"))
+    assert got.columns[: len(df.columns)] == df.columns
+    for r in got.collect():
+        assert [r[n] for n in names] == [str(i) for i in range(len(names))]
+        assert (r.n_words, r.kept) == ((120_000, True) if r.doc_id == 1 else (0, False))
 
 
 def test_native_and_whole(docs, spark):
@@ -79,8 +121,6 @@ def test_a_filter_does_not_repeat_work(docs, spark):
 
 def test_damning_words(docs, spark):
     """Insults in long clean texts are found without toxic labels, and copies of one text damn nothing."""
-    import random
-
     rng = random.Random(3)
     clean = lambda: [f"word{int(400 * rng.random() ** 2)}" for _ in range(300)]
     toxic = {i for i in range(600) if i % 10 == 7}

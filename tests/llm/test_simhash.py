@@ -85,9 +85,72 @@ def test_query(docs):
     assert simhash.near_duplicates(docs([])).count() == 0
 
 
+def jaccard(a, b, size=5):
+    cut = lambda t: {tuple(t.split()[i : i + size]) for i in range(max(1, len(t.split()) - size + 1))}
+    return len(cut(a) & cut(b)) / len(cut(a) | cut(b))
+
+
 def test_one_stays(docs):
     base = " ".join(f"word{i}" for i in range(6000))
-    rows = [(3, base), (2, base.replace("word200 ", "other ")), (2, base.replace("word200 ", "other ")), (None, base), (9, "something else entirely here"), (None, "no id here at all but words")]
-    kept = simhash.without_near_duplicates(docs(rows).selectExpr("*", "'k' AS key_id", "7 AS more")).collect()
-    assert sorted((str(r.doc_id), r.more) for r in kept) == [("2", 7), ("9", 7), ("None", 7)]
+    rows = [(3, base), (2, base.replace("word200 ", "other ")), (2, base.replace("word200 ", "other ")), (None, base), (9, "something else entirely here"), (None, "no id here at all but words"), (None, None), (12, " ")]
+    names = ["key_id", "key_text", "fp", "row", "rest", "first", "id", "files", "node"]
+    df = docs(rows).selectExpr("*", *[f"concat('v', doc_id) AS {n}" for n in names], "7 AS more")
+    found = simhash.without_near_duplicates(df)
+    assert found.columns == df.columns and found.dtypes == df.dtypes
+    kept = found.collect()
+    assert sorted((str(r.doc_id), r.more) for r in kept) == [("12", 7), ("2", 7), ("9", 7), ("None", 7)]
+    assert all(r[n] == (f"v{r.doc_id}" if r.doc_id else None) for r in kept for n in names)
     assert simhash.without_near_duplicates(docs([])).count() == 0
+
+
+def test_near_copies_of_a_similarity_are_found(docs):
+    """Of pairs about as similar as asked for most are found, of closer ones all, and none that are far apart."""
+    rng = random.Random(6)
+    vocabulary = [f"w{i}" for i in range(3000)]
+    rows, pairs = [], []
+    for i in range(160):
+        words = rng.choices(vocabulary, k=300)
+        other = list(words)
+        for at in rng.sample(range(300), (1, 3, 6, 25)[i % 4]):
+            other[at] = "changed"
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(other))]
+        pairs.append((i % 4, jaccard(rows[-2][1], rows[-1][1])))
+    assert min(j for k, j in pairs if k == 2) > 0.8 and max(j for k, j in pairs if k == 3) < 0.65
+    kept = {r.doc_id for r in simhash.without_near_duplicates(docs(rows)).select("doc_id").collect()}
+    gone = [sum(2 * i + 1 not in kept for i in range(160) if i % 4 == k) for k in range(4)]
+    assert gone[0] == gone[1] == 40 and gone[2] >= 31 and gone[3] <= 1 and all(2 * i in kept for i in range(160))
+
+
+def test_keys_keep_their_recall_at_any_size():
+    for n in (10, 10**4, 10**7, 10**11):
+        keys = simhash.wide_keys(n, 0.8)
+        meets = (1 - simhash.share_of_bits(0.8)) ** keys.shape[1]
+        assert 1 - (1 - meets) ** len(keys) >= 0.95 and keys.max() < simhash.WIDE
+        assert all(len(set(k)) == len(k) for k in keys.tolist())
+
+
+def test_wide_links_are_verified(spark):
+    """Every link of a key forest is within the radius; whatever shares a key and a distance is connected."""
+    rng = random.Random(5)
+    fps = [bytes(rng.randrange(256) for _ in range(32)) for _ in range(60)]
+    for base in fps[:20]:
+        for flips in (1, 5, 20, 60):
+            x = int.from_bytes(base) ^ sum(1 << b for b in rng.sample(range(256), flips))
+            fps.append(x.to_bytes(32))
+    rows = list(enumerate(dict.fromkeys(fps)))
+    edges = simhash.wide_links(spark.createDataFrame(rows, "node long, fp binary"), len(rows)).collect()
+    fp = dict(rows)
+    apart = lambda a, b: (int.from_bytes(fp[a]) ^ int.from_bytes(fp[b])).bit_count()
+    assert edges and all(apart(e.a, e.b) <= simhash.radius_of(0.8) == 46 for e in edges)
+    roots = {r.node: r.root for r in simhash.components(spark.createDataFrame(edges)).collect()}
+    close = [(a, b) for a, _ in rows for b, _ in rows if a < b and apart(a, b) <= 6]
+    assert close and all(roots.get(a, a) == roots.get(b, b) for a, b in close)
+
+
+def test_very_long_text(docs):
+    rng = random.Random(4)
+    text = " ".join(rng.choices([f"w{i}" for i in range(5000)], k=300_000))
+    rows = [(1, text), (2, text + " end"), (3, "x " * 200_000)]
+    got = {r.doc_id: (int(r.fingerprint, 16), r.component_id) for r in simhash.near_duplicates(docs(rows)).collect()}
+    assert got[1][0] == brute_fingerprint(text) and got[2][1] == 1 and got[3][1] == 3
+    assert {r.doc_id for r in simhash.without_near_duplicates(docs(rows)).collect()} == {1, 3}

@@ -116,7 +116,8 @@ def test_rows_follow_the_ends_of_matches(spark, docs, kinds):
     shelf = Shelf(docs(list(enumerate(texts))))
     index = suffixdedup.SuffixIndex(spark)
     index.add(shelf.rows.select("text"))
-    hits = index.scan(shelf.rows)
+    fates, _ = suffixdedup._with_kinds(index.fates(), "anchor")
+    hits = suffixdedup.places(shelf.rows, 200, 32).join(fates, ["anchor", "stretch"])
     left = hits.filter("kinds >= 2 and n = 1").selectExpr("row", "shiftright(place, 16) AS at", "shiftright(place, 8) & 255 AS dist", "(place & 255) + 1 AS size")
     made = []
     for width in suffixdedup.CELLS:
