@@ -13,6 +13,7 @@ theirs can clash with a name used here.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from contextlib import nullcontext
 
 import numpy as np
 import pyarrow as pa
@@ -108,13 +109,14 @@ class Shelf:
         own = [uri for k, uri in self.files.items() if k % n == i]
         return self.spark.read.schema(self.schema).parquet(*own) if own else self.rows.limit(0)
 
-    def visit(self, asked: DataFrame, make: Callable[[pa.RecordBatch, pa.Table], Iterator[pa.RecordBatch]], schema: str | T.StructType, columns: tuple[str, ...] = ("text",), every: bool = False) -> DataFrame:
+    def visit(self, asked: DataFrame, make: Callable[[pa.RecordBatch, pa.Table], Iterator[pa.RecordBatch]], schema: str | T.StructType, columns: tuple[str, ...] = ("text",), every: bool = False, opened: Callable | None = None) -> DataFrame:
         """What make(rows, asked) returns for batches of rows and the asked rows that belong to them.
 
         ``asked`` starts with the column ``row`` and holds longs; rows of a file come
         in order, and what is asked of a row is sorted by all its columns. Rows of
         which nothing is asked may be left out, unless ``every`` is set. make gets
-        tables of (row, *columns) and (row, mark, *others), where mark is zero.
+        tables of (row, *columns) and (row, mark, *others), where mark is zero, and
+        what the context ``opened()`` of a task gives, if there is one.
         """
         if not self.files:
             return self.spark.createDataFrame([], schema)
@@ -126,8 +128,9 @@ class Shelf:
         named, wanted = self.named, ["row", *columns]
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for rows, own in _meet(batches, named, wanted, every):
-                yield from make(rows, own)
+            with opened() if opened else nullcontext() as held:
+                for rows, own in _meet(batches, named, wanted, every):
+                    yield from make(rows, own, held) if opened else make(rows, own)
 
         return arrow_map(ordered, run, schema)
 

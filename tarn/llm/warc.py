@@ -6,14 +6,19 @@ used, so a task that is tried again leaves at most a file that nothing refers
 to. Captures are sorted by reversed-host URL key, range by range, into
 compressed blocks of LINES lines; the directory has the first key of each block.
 A look-up sorts its keys, binary-searches the part of the directory that its
-range needs, reads those blocks by range, and then the records by range.
+range needs, deals the blocks found out by place, so that a key of many captures
+is read by many tasks, reads them by range, and then the records by range. Pages
+wait on a shelf while their digests are compared: html is never shuffled.
 
 Of records with equal payloads of at least LEAST bytes, that with the largest
 page_id is the response and the others are revisits of it.
 
 Defined cases: a null html is an empty payload, a null url has the empty key; a
 row without page_id is a response and is never referred to; repeated rows of the
-largest page_id are all responses; an empty table gives no archive and no rows.
+largest page_id are all responses; of equal payloads without a page_id all are
+responses; payloads of any length are kept whole, one in memory at a time beside
+a batch; other columns are not read, whatever their names; an empty table gives
+no archive and no rows.
 """
 
 from __future__ import annotations
@@ -26,13 +31,16 @@ import json
 import uuid
 import zlib
 from collections.abc import Iterator
+from contextlib import contextmanager
+from functools import partial
 from urllib.parse import urlsplit
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, rows_of, scratch, stored
+from .common import arrow_map, delete, rows_of, scratch, stored
+from .shelf import Shelf, open_store
 
 LEAST = 1000
 LINES = 500
@@ -100,18 +108,11 @@ def read_record(member: bytes) -> dict:
     }
 
 
-def _store(uri: str):
-    """File system and path of a folder, on the driver or an executor."""
-    from pyarrow import fs
-
-    return fs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("/") else uri.replace("file:", "file://", 1))
-
-
 class _Ranges:
     """Range reads from files of one folder; the last file stays open."""
 
     def __init__(self, uri: str):
-        self.fs, self.path = _store(uri)
+        self.fs, self.path = open_store(uri)
         self.name, self.file = None, None
 
     def read(self, name: str, offset: int, length: int) -> bytes:
@@ -134,43 +135,63 @@ CAPTURE_ARROW = pa.schema([("urlkey", pa.string()), ("page_id", pa.int64()), ("f
 BLOCK_ARROW = pa.schema([("first", pa.string()), ("last", pa.string()), ("file", pa.string()), ("offset", pa.int64()), ("length", pa.int64()), ("lines", pa.int64())])
 
 
-def write_archives(pages: DataFrame, folder: str) -> DataFrame:
-    """Writes pages (page_id, url, html) to archives in a folder; returns their stored captures."""
-    rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html")).withColumn("digest", F.sha1("html"))
-    large = rows.filter((F.octet_length("html") >= LEAST) & F.col("page_id").isNotNull())
-    # Digests that occur once need no entry. Stored first: its size then decides how the join is planned.
-    shared, _ = stored(large.select("digest", "page_id").groupBy("digest").agg(F.max("page_id").alias("keeper"), F.count("*").alias("n")).filter("n > 1").select("digest", "keeper"), "originals")
-    decided = rows.join(shared, "digest", "left").select("page_id", "url", "html", F.when(F.col("page_id") != F.col("keeper"), F.col("keeper")).alias("refers_to"))
+class _Archive:
+    """The archive that one task writes, begun with its first record."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, path = _store(folder)
-        name = f"{uuid.uuid4().hex}.warc.gz"
-        out, at = None, 0
+    def __init__(self, folder: str):
+        self.store, self.path = open_store(folder)
+        self.name, self.out, self.at = f"{uuid.uuid4().hex}.warc.gz", None, 0
+
+    def add(self, member: bytes) -> tuple[str, int, int]:
+        if self.out is None:
+            self.store.create_dir(self.path, recursive=True)
+            self.out = self.store.open_output_stream(f"{self.path}/{self.name}", compression=None)
+        self.out.write(member)
+        self.at += len(member)
+        return self.name, self.at - len(member), len(member)
+
+    @classmethod
+    @contextmanager
+    def opened(cls, folder: str):
+        own = cls(folder)
         try:
-            for batch in rows_of(batches):
-                found: dict[str, list] = {f.name: [] for f in CAPTURE_ARROW}
-                for page_id, url, html, refers_to in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                    if out is None:
-                        store.create_dir(path, recursive=True)
-                        out = store.open_output_stream(f"{path}/{name}", compression=None)
-                    member = make_record(page_id, url, html.encode("utf-8", "surrogatepass"), refers_to)
-                    out.write(member)
-                    for k, v in zip(found, (url_key(url), page_id, name, at, len(member)), strict=True):
-                        found[k].append(v)
-                    at += len(member)
-                yield _rows(found, CAPTURE_ARROW)
+            yield own
         finally:
-            if out is not None:
-                out.close()
+            if own.out is not None:
+                own.out.close()
+
 
-    return stored(arrow_map(decided, run, CAPTURE), "captures")[0]
+def write_archives(pages: DataFrame, folder: str) -> DataFrame:
+    """Writes pages (page_id, url, html) to archives in a folder; returns their stored captures."""
+    shelf = Shelf(pages.select("page_id", "url", "html"), "html")
+    page_id = F.col("rest").getField("page_id")
+    rows = shelf.rows.filter((F.octet_length("text") >= LEAST) & page_id.isNotNull()).select("row", page_id.cast("long").alias("page_id"), F.sha1("text").alias("digest"))
+    large, large_path = stored(rows, "digests")
+    # Digests that occur once need no entry.
+    shared, shared_path = stored(large.groupBy("digest").agg(F.max("page_id").alias("keeper"), F.count("*").alias("n")).filter("n > 1").select("digest", "keeper"), "originals")
+    again = large.join(shared, "digest").filter("page_id <> keeper").select("row", F.col("keeper").alias("refers_to"))
+
+    def make(rows: pa.RecordBatch, asked: pa.Table, out: _Archive) -> Iterator[pa.RecordBatch]:
+        refers = dict(zip(asked.column("row").to_pylist(), asked.column("refers_to").to_pylist(), strict=True))
+        found: dict[str, list] = {f.name: [] for f in CAPTURE_ARROW}
+        for row, html, rest in zip(rows.column(0).to_pylist(), rows.column(1), rows.column(2).to_pylist(), strict=True):
+            member = make_record(rest["page_id"], rest["url"], html.as_py() or b"", refers.get(row))
+            for k, v in zip(found, (url_key(rest["url"]), rest["page_id"], *out.add(member)), strict=True):
+                found[k].append(v)
+        yield _rows(found, CAPTURE_ARROW)
+
+    captures, _ = stored(shelf.visit(again, make, CAPTURE, columns=("text", "rest"), every=True, opened=partial(_Archive.opened, folder)), "captures")
+    for path in (large_path, shared_path):
+        delete(pages.sparkSession, path)
+    shelf.drop()
+    return captures
 
 
 def write_index(captures: DataFrame, folder: str) -> DataFrame:
     """Sorts captures by key into compressed blocks in a folder; returns the stored block directory."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, path = _store(folder)
+        store, path = open_store(folder)
         name = f"{uuid.uuid4().hex}.cdx.gz"
         out, at, lines, keys = None, 0, [], []
 
@@ -205,10 +226,15 @@ def write_index(captures: DataFrame, folder: str) -> DataFrame:
     return stored(arrow_map(ranged, run, BLOCK), "directory")[0]
 
 
+ASKED = "urlkey string, file string, offset long, length long"
+ASKED_ARROW = pa.schema([("urlkey", pa.string()), ("file", pa.string()), ("offset", pa.int64()), ("length", pa.int64())])
+#: Captures of one output batch of a look-up.
+FOUND_ROWS = 4096
+
+
 def look_up(urls: DataFrame, directory: DataFrame, folder: str, url: str = "url") -> DataFrame:
     """Captures of every distinct URL key of a column, through the directory."""
-    where = directory.inputFiles()
-    where = sorted({f.rpartition("/")[0] for f in where})
+    where = sorted({f.rpartition("/")[0] for f in directory.inputFiles()})
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -217,37 +243,53 @@ def look_up(urls: DataFrame, directory: DataFrame, folder: str, url: str = "url"
 
     wanted = arrow_map(urls.select(url), keys, "urlkey string").distinct().repartitionByRange("urlkey").sortWithinPartitions("urlkey")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The blocks that each key may lie in."""
         import pyarrow.dataset as ds
 
+        known = None
+        for batch in rows_of(batches):
+            asked = batch.column(0).to_pylist()
+            if not asked or not where:
+                continue
+            if known is None:
+                store, path = open_store(where[0])
+                known = ds.dataset(path, filesystem=store, format="parquet")
+            # Only the part of the directory that this range of keys can need.
+            part = known.to_table(filter=(ds.field("first") <= asked[-1]) & (ds.field("last") >= asked[0])).sort_by([("first", "ascending"), ("last", "ascending")]).to_pylist()
+            firsts = [b["first"] for b in part]
+            found: dict[str, list] = {f.name: [] for f in ASKED_ARROW}
+            for key in asked:
+                # The blocks that can hold the key end with the last that starts at or before it.
+                at = bisect.bisect_right(firsts, key) - 1
+                while at >= 0 and part[at]["last"] >= key:
+                    for k, v in zip(found, (key, part[at]["file"], part[at]["offset"], part[at]["length"]), strict=True):
+                        found[k].append(v)
+                    at -= 1
+            yield _rows(found, ASKED_ARROW)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranges, last, lines = _Ranges(folder), None, []
         try:
             for batch in rows_of(batches):
-                asked = batch.column(0).to_pylist()
-                if not asked or not where:
-                    continue
-                # Only the part of the directory that this range of keys can need.
-                store, path = _store(where[0])
-                part = ds.dataset(path, filesystem=store, format="parquet").to_table(filter=(ds.field("first") <= asked[-1]) & (ds.field("last") >= asked[0])).sort_by([("first", "ascending"), ("last", "ascending")]).to_pylist()
-                firsts = [b["first"] for b in part]
                 found: dict[str, list] = {f.name: [] for f in CAPTURE_ARROW}
-                for key in asked:
-                    # The blocks that can hold the key end with the last that starts at or before it.
-                    at = bisect.bisect_right(firsts, key) - 1
-                    while at >= 0 and part[at]["last"] >= key:
-                        block = (part[at]["file"], part[at]["offset"], part[at]["length"])
-                        if block != last:
-                            raw = gzip.decompress(ranges.read(*block)).decode("utf-8", "surrogatepass")
-                            last, lines = block, [json.loads(x) for x in raw.split("\n")]
-                        for row in lines[bisect.bisect_left(lines, key, key=lambda r: r[0]) : bisect.bisect_right(lines, key, key=lambda r: r[0])]:
-                            for k, v in zip(found, row, strict=True):
-                                found[k].append(v)
-                        at -= 1
+                for key, *block in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    if block != last:
+                        raw = gzip.decompress(ranges.read(*block)).decode("utf-8", "surrogatepass")
+                        last, lines = block, [json.loads(x) for x in raw.split("\n")]
+                    for row in lines[bisect.bisect_left(lines, key, key=lambda r: r[0]) : bisect.bisect_right(lines, key, key=lambda r: r[0])]:
+                        for k, v in zip(found, row, strict=True):
+                            found[k].append(v)
+                    if len(found["urlkey"]) >= FOUND_ROWS:
+                        yield _rows(found, CAPTURE_ARROW)
+                        found = {f.name: [] for f in CAPTURE_ARROW}
                 yield _rows(found, CAPTURE_ARROW)
         finally:
             ranges.close()
 
-    return stored(arrow_map(wanted, run, CAPTURE), "found")[0]
+    order = ("file", "offset", "urlkey")
+    dealt = stored(arrow_map(wanted, blocks, ASKED), "blocks")[0].repartitionByRange(*order).sortWithinPartitions(*order)
+    return stored(arrow_map(dealt, run, CAPTURE), "found")[0]
 
 
 RECORD = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string"

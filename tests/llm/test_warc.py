@@ -46,7 +46,7 @@ def test_payloads_and_files(pages, spark):
     rows = warc.read_records(captures, folder, payload=True).collect()
     by = {r.page_id: bytes(r.payload) for r in rows if r.record_type == "response" and r.page_id is not None}
     assert all(by[i] == (h or "").encode() for i, _, h in PAGES if i in by)
-    store, path = warc._store(folder)
+    store, path = warc.open_store(folder)
     names = {r.file for r in captures.collect()}
     whole = b"".join(gzip.decompress(store.open_input_file(f"{path}/{n}").read()) for n in names)
     assert whole.count(b"WARC/1.1\r\nWARC-Type: ") == len(PAGES)
@@ -74,3 +74,14 @@ def test_absent_urls_and_empty_tables(pages, spark):
     asked = spark.createDataFrame([("http://nobody/",), ("http://h1.example.com/p/1",), ("http://h1.example.com/p/1",)], "url string")
     assert [r.page_id for r in warc.look_up(asked, directory, folder).collect()] == [1]
     assert warc.archive_and_read(pages.limit(0)).count() == 0
+
+
+def test_a_hot_key_and_a_long_page(spark, monkeypatch):
+    """Many captures of one key are dealt out by block and come back in several batches; long payloads stay whole."""
+    monkeypatch.setattr(warc, "LINES", 20)
+    monkeypatch.setattr(warc, "FOUND_ROWS", 50)
+    rows = [(i, None if i % 2 else "http://hot.example/", f"page {i}") for i in range(700)] + [(1000, "http://z/", "x" * 3_000_000), (1001, "http://z/", "x" * 3_000_000)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    got = {r.page_id: r for r in warc.archive_and_read(df).collect()}
+    assert len(got) == 702 and got[1000].refers_to == 1001 and got[1001].payload_bytes == 3_000_000
+    assert all(got[i].payload_bytes == len(f"page {i}") for i in range(700))
