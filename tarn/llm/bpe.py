@@ -11,7 +11,9 @@ in all of them at once; long pieces use one tree each. Pieces are independent,
 so their ids are remembered, up to about CACHE_BYTES for each worker.
 
 Defined cases: a null or empty text has no ids; any bytes decode back exactly;
-a text without white space is one long piece and takes n log n steps.
+a text without white space is one long piece and takes n log n steps; repeated
+rows give repeated results; other columns come back unchanged, but those with the
+names of new ones (in any case) are replaced; an empty table gives an empty table.
 """
 
 from __future__ import annotations

@@ -10,7 +10,11 @@ some already), which reading back undoes.
 Defined cases: a null text is empty and a null role is the empty role; turns
 sort by turn (null first), then role, then text, and repeated rows are repeated
 turns; a null conversation id is a conversation of its own; a JSON record that
-is null, malformed or of an unknown layout has no turns.
+is null, malformed or of an unknown layout has no turns; texts and conversations
+of any length are formatted whole; an empty table gives an empty table; other
+columns come back unchanged, but those with the names of new ones (``turns``,
+``formatted``, ``loss_spans`` and what is read back, in any case) are replaced,
+and a table of rows by turn keeps its key alone.
 """
 
 from __future__ import annotations
@@ -25,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import add_columns
+from .common import add_columns, fresh
 
 TURNS = T.ArrayType(T.StructType([T.StructField("role", T.StringType()), T.StructField("text", T.StringType())]))
 
@@ -215,8 +219,9 @@ def formatted(df: DataFrame, turns: str = "turns") -> DataFrame:
         span = F.array(F.struct(lo.alias("start"), hi.alias("end")))
         return F.struct((hi + F.length(p["tail"])).alias("at"), F.when(p["loss"], F.concat(acc["spans"], span)).otherwise(acc["spans"]).alias("spans"))
 
-    parts = df.withColumn("parts_", F.transform(turns, part))
-    return parts.withColumn("formatted", F.array_join(F.transform("parts_", lambda p: F.concat(p["head"], p["body"], p["tail"])), "")).withColumn("loss_spans", F.aggregate("parts_", start, step, lambda acc: acc["spans"])).drop("parts_")
+    own = fresh("parts", df.columns)
+    parts = df.withColumn(own, F.transform(turns, part))
+    return parts.withColumn("formatted", F.array_join(F.transform(own, lambda p: F.concat(p["head"], p["body"], p["tail"])), "")).withColumn("loss_spans", F.aggregate(own, start, step, lambda acc: acc["spans"])).drop(own)
 
 
 def unescape(text: str) -> str:

@@ -8,7 +8,9 @@ two-dimensional cosine transform, in integers, so that equal images have equal
 hashes on any machine.
 
 Defined cases: a null or empty text is the payload of 64 zero bytes; texts of
-any length are one image; repeated rows give repeated results; columns of the
+any length are one image; repeated rows give repeated results; of scanline
+filters that tie the first is taken, and a frequency equal to the median counts
+as not above it, so equal payloads have equal images and hashes; columns of the
 input with an output's name are replaced; an empty table gives an empty table.
 """
 

@@ -60,8 +60,11 @@ CUES = {
     "phone": re.compile(r"(?i)\b(?:tel|phone|call|mobile|fax|telefon|téléphone|teléfono)\b"),
     "secret": re.compile(r"(?i)(?:password|passwd|secret|token|key|aws|credential)"),
 }
+LAST_LABEL = re.compile(r"\.|\[dot\]|\(dot\)")
 NOT_CUE = re.compile(r"(?i)\b(?:version|isbn|doi|figure|page|chapter|order|total|hash|sha|md5|commit|checksum)\b[^\n]{0,12}$")
 BEFORE = 40
+#: Place of the labeler of context words.
+CUE = 3
 
 
 def luhn(digits: str) -> bool:
@@ -144,7 +147,7 @@ def votes(text: str, kind: str, lo: int, hi: int, strict: bool) -> tuple[int, ..
     shape = 1 if strict else 0
     check, known = 0, 0
     if kind == "email":
-        known = 1 if span.rstrip(")]").rpartition(".")[2].lower() in TLD else -1
+        known = 1 if LAST_LABEL.split(span)[-1].strip(")] ").lower() in TLD else -1
         check = 1 if len(span) <= 254 and ".." not in span else -1
     elif kind == "ip":
         parts = span.split(".")
@@ -163,7 +166,7 @@ def votes(text: str, kind: str, lo: int, hi: int, strict: bool) -> tuple[int, ..
         check = 1 if digits and len(set(value or name)) >= 6 else -1
     cue = 1 if CUES[kind].search(before) else -1 if NOT_CUE.search(before) else 0
     classes = sum(bool(re.search(c, span)) for c in ("[0-9]", "[a-z]", "[A-Z]"))
-    mixed = 1 if (classes >= 2) == (kind in ("email", "secret")) else -1
+    mixed = 1 if (2 * sum(map(str.isalpha, span)) > len(span) if kind == "email" else (classes >= 2) == (kind == "secret")) else -1
     return shape, check, known, cue, mixed
 
 
@@ -206,12 +209,16 @@ def estimate(counts: dict[str, int], rounds: int = 50) -> tuple[dict[str, float]
         v = np.array([_parse(p)[1] for p in own])
         n = np.array([counts[p] for p in own], float)
         on = 1 / (1 + np.exp(-v.sum(axis=1)))
+        silent = min(n[v[:, CUE] == 0].sum() / n.sum(), 1 - 1e-9)
         for _ in range(rounds):
             weight = np.stack([n * (1 - on), n * on])
             prior = (weight.sum(axis=1) + 1) / (n.sum() + 2)
             # One pseudo-count for each vote, and one for the vote that agrees with the class.
             table = np.array([[[weight[z][v[:, j] == x].sum() + 1 + (x == 2 * z - 1) for x in (-1, 0, 1)] for z in (0, 1)] for j in range(v.shape[1])])
             table /= table.sum(axis=2, keepdims=True)
+            # No cue before a span is no evidence: both classes are silent alike there.
+            table[CUE] *= (1 - silent) / (1 - table[CUE, :, 1:2])
+            table[CUE, :, 1] = max(silent, 1e-9)
             log = np.log(prior) + sum(np.log(table[j][:, v[:, j] + 1]).T for j in range(v.shape[1]))
             on = 1 / (1 + np.exp(np.clip(log[:, 0] - log[:, 1], -50, 50)))
         posterior |= dict(zip(own, on.tolist(), strict=True))

@@ -1,10 +1,10 @@
 """Quality rules in DataFrame functions only.
 
 Every text gets counts of words, symbols, repeated lines and repeated 3-word
-windows. Its different words, by 64-bit hash, and its different word pairs, by
-bucket, are counted over all documents (raw) and over the trusted ones (good), in
-one distributed table that grows with the words of the input. Words and pairs
-have buckets of their own, whose number follows the bytes of the input up to
+windows. The different words of a text, by 64-bit hash, and its different word
+pairs, by bucket, are counted over all documents (raw) and over the trusted ones
+(good), in one distributed table that grows with the words of the input. Words and
+pairs have buckets of their own, whose number follows the bytes of the input up to
 MOST_BUCKETS, so that the ratios can be a constant of the plan of the last pass.
 
 Of an n-gram in r other documents, good texts should hold due = r * G / R, where
@@ -28,8 +28,8 @@ trusted texts, at any size of input.
 
 Defined cases: a null or wordless text has zero counts, score zero and fails the
 base rules; a text of one word has a single n-gram; texts of any length are read
-whole; an n-gram counts once in a text, so a very long text has no more weight
-than its different n-grams; repeated rows are further documents; repeated labels
+whole; in the counts an n-gram stands once for a text, so a very long text has no
+more weight than its different n-grams; repeated rows are further documents; repeated labels
 count once; without trusted texts that pass the base rules, scores are zero or
 decide nothing and the base rules decide; an empty table gives an empty table;
 other columns come back unchanged, but those with the names of the new ones (in
@@ -112,17 +112,6 @@ def repeated(h: Column) -> Column:
     return let(windows, counted)
 
 
-def base_counts(text: Column, listed: Column) -> list[Column]:
-    """Base columns from a text and its words."""
-    lines = F.filter(F.split(F.coalesce(text, F.lit("")), "\n"), lambda line: line.rlike(WORD))
-    return [
-        F.size(listed).cast("long").alias("n_words"),
-        F.length(F.array_join(listed, "")).cast("long").alias("word_chars"),
-        F.regexp_count(F.coalesce(text, F.lit("")), F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"),
-        let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
-    ]
-
-
 def marked(docs: DataFrame, labels: DataFrame, trusted: int = TRUSTED) -> DataFrame:
     """docs (doc_id, text) with trusted_, 1 or null."""
     known = labels.filter("quality = 1 and toxic = 0 and doc_id is not null").select("doc_id").distinct()
@@ -141,7 +130,9 @@ class Evidence:
         if not self.good:
             return
         kind = F.expr("shiftleft(1L, cast(pmod(xxhash64(text), 64) AS int))")
-        held = self.known.select("trusted_", kind.alias("kind"), F.explode(let(hashes(words(F.col("text"))), lambda h: grams(h, self.size))).alias("gram"))
+        # The class of a text is computed before its n-grams are dealt out, and the text left behind.
+        texts = self.known.select("trusted_", kind.alias("kind"), let(hashes(words(F.col("text"))), lambda h: grams(h, self.size)).alias("grams"))
+        held = texts.select("trusted_", "kind", F.explode("grams").alias("gram"))
         counts = held.groupBy("gram").agg(F.count(F.lit(1)).alias("raw"), F.count("trusted_").alias("good"), F.bit_or("kind").alias("kinds"))
         self.counts, _ = stored(counts, "grams")
         self.raw_sum, self.good_sum = self.counts.agg(F.sum("raw"), F.sum("good")).first()
@@ -177,8 +168,9 @@ class Evidence:
         """The QUANTILE of the scores of trusted texts that are left out of the counts."""
         if not self.good:
             return -math.inf
-        own = rules(self.known.filter("trusted_ = 1").select("doc_id", "text"), constant(self.ratios(own=1)), self.size, -math.inf)
-        found = own.filter(~F.col("base_failed")).agg(F.percentile("score", F.lit(QUANTILE))).first()[0]
+        own = self.known.filter("trusted_ = 1").select(verdict(F.col("text"), constant(self.ratios(own=1)), self.size, -math.inf, []).alias("found"))
+        scores = own.select(F.when(~F.col("found.base_failed"), F.col("found.score")).alias("score"))
+        found = scores.agg(F.percentile("score", F.lit(QUANTILE))).first()[0]
         return -math.inf if found is None else found
 
 
@@ -187,23 +179,43 @@ def constant(values: list[float]) -> Column:
     return F.split(F.lit(",".join(f"{v:.5g}" for v in values)), ",").cast("array<float>")
 
 
+def _measured(text: Column, listed: Column, h: Column, ratio: Column, size: int, avoided: list[int]) -> Column:
+    """Base counts, score and whether a word is damning, as a struct, from a text, its words and their hashes."""
+    lines = F.filter(F.split(F.coalesce(text, F.lit("")), "\n"), lambda line: line.rlike(WORD))
+    word = F.transform(h, lambda x: F.pmod(x, F.lit(size)).cast("int"))
+    pair = F.transform(_pairs(h), lambda x: (F.pmod(x, F.lit(size)) + size).cast("int"))
+    mean = let(F.concat(word, pair), lambda at: F.when(F.size(at) > 0, F.aggregate(at, F.lit(0.0), lambda a, x: a + ratio[x]) / F.size(at)).otherwise(F.lit(0.0)))
+    return F.struct(
+        F.size(listed).cast("long").alias("n_words"),
+        F.length(F.array_join(listed, "")).cast("long").alias("word_chars"),
+        F.regexp_count(F.coalesce(text, F.lit("")), F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"),
+        let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
+        repeated(h).alias("n_repeat_words"),
+        mean.alias("score"),
+        (F.exists(h, lambda x: x.isin(avoided)) if avoided else F.lit(False)).alias("damned"),
+    )
+
+
+NEW = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "score", "base_failed", "kept")
+
+
+def verdict(text: Column, ratio: Column, size: int, threshold: float, avoided: list[int]) -> Column:
+    """All new columns of a text as one struct: a text is split and hashed once, wherever the struct is used once."""
+
+    def judged(m: Column) -> Column:
+        failed = (m["n_words"] < 50) | (100 * m["n_repeat_words"] > 50 * m["n_words"])
+        kept = ~failed & (m["score"] >= F.lit(threshold)) & ~m["damned"]
+        return F.struct(*[m[c].alias(c) for c in NEW[:6]], failed.alias("base_failed"), kept.alias("kept"))
+
+    return let(words(text), lambda w: let(hashes(w), lambda h: let(_measured(text, w, h, ratio, size, avoided), judged)))
+
+
 def rules(docs: DataFrame, ratio: Column, size: int, threshold: float, avoided: list[int] | None = None) -> DataFrame:
     """docs (doc_id, text and any others) with base counts, score and verdict; avoided are hashes of damning words."""
-    names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "score", "base_failed", "kept"]
-    kept = [c for c in docs.columns if c.lower() not in names]
+    kept = [c for c in docs.columns if c.lower() not in NEW]
     # Columns of the input travel in a struct, beside which no name is taken.
-    made = docs.select(F.struct(*[docs[f"`{c}`"].alias(c) for c in kept]).alias("box"), docs["text"].alias("text"), words(docs["text"]).alias("words")).withColumn("hash", hashes(F.col("words")))
-
-    def mean(h: Column) -> Column:
-        word = F.transform(F.array_distinct(h), lambda x: F.pmod(x, F.lit(size)).cast("int"))
-        pair = F.transform(F.array_distinct(F.transform(_pairs(h), lambda x: F.pmod(x, F.lit(size)).cast("int"))), lambda x: x + size)
-        return let(F.concat(word, pair), lambda at: F.when(F.size(at) > 0, F.aggregate(at, F.lit(0.0), lambda a, x: a + ratio[x]) / F.size(at)).otherwise(F.lit(0.0)))
-
-    damned = F.expr(f"exists(hash, x -> x in ({', '.join(f'{a}L' for a in avoided)}))") if avoided else F.lit(False)
-    scored = made.select("box", damned.alias("damned"), *base_counts(F.col("text"), F.col("words")), let(F.col("hash"), repeated).alias("n_repeat_words"), let(F.col("hash"), mean).alias("score"))
-    failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    judged = scored.withColumn("base_failed", failed).withColumn("kept", ~failed & (F.col("score") >= threshold) & ~F.col("damned"))
-    return judged.select(*[F.col("box").getField(c).alias(c) for c in kept], *names)
+    made = docs.select(F.struct(*[docs[f"`{c}`"].alias(c) for c in kept]).alias("box"), verdict(docs["text"], ratio, size, threshold, avoided or []).alias("found"))
+    return made.select(*[F.col("box").getField(c).alias(c) for c in kept], *[F.col("found").getField(c).alias(c) for c in NEW])
 
 
 def judge(docs: DataFrame, labels: DataFrame, threshold: float | None = None) -> DataFrame:

@@ -45,12 +45,13 @@ def test_a_long_piece_is_fast():
 
 
 def test_columns(docs, monkeypatch):
-    monkeypatch.setattr(bpe, "CACHE", 3)
+    monkeypatch.setattr(bpe, "CACHE_BYTES", 3)
     other = library()
-    df = docs(list(enumerate(ODD))).selectExpr("*", "5 AS N_TOKENS")
+    df = docs(list(enumerate(ODD))).selectExpr("*", "5 AS N_TOKENS", "'k' AS parts_", "'k' AS score")
     for r, text in zip(bpe.digests(df, RANKS, P.PATTERN).orderBy("doc_id").collect(), ODD, strict=True):
         ids = other.encode_ordinary(text or "")
         sha = lambda b: hashlib.sha256(b).hexdigest()
+        assert (r.parts_, r.score) == ("k", "k")
         assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == (len(ids), sha(" ".join(map(str, ids)).encode()), sha((text or "").encode()))
     both = bpe.decode_column(bpe.encode_column(df, RANKS, P.PATTERN), RANKS, P.PATTERN)
     assert all(bytes(r.decoded).decode() == (r.text or "") for r in both.collect())

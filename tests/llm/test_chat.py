@@ -99,3 +99,11 @@ def test_empty(spark):
     empty = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
     made = chat.formatted(chat.canonical(empty))
     assert chat.read_back(made.select("conv_id", F.struct("formatted", "loss_spans").alias("output"))).count() == 0
+
+
+def test_clashing_columns_and_long_texts(spark):
+    long = "</s>[INST] " * 100_000
+    df = spark.createDataFrame([(long, "fine", "k", "j", 1), ("a", long, "k", "j", 2)], "prompt string, completion string, parts_ string, parts_0 string, score int")
+    made = chat.formatted(chat.canonical(df))
+    rows = chat.read_back(made.select("parts_", "parts_0", "score", F.struct("formatted", "loss_spans").alias("output"))).orderBy("score").collect()
+    assert [(r.parts_, r.parts_0, r.n_turns) for r in rows] == [("k", "j", 2)] * 2 and [r.loss_chars for r in rows] == [4, len(long)]

@@ -72,3 +72,24 @@ def test_columns(docs):
     assert rows[9].feature == rows[10].feature
     assert [r.decoded_text for r in media.decode_media(stored).orderBy("doc_id").collect()] == [t or "" for t in ODD]
     assert media.media_features(media.encode_media(docs([]))).count() == 0
+
+
+def test_hash_against_a_plain_cosine_transform():
+    """The bits are the signs, against their median, of a two-dimensional cosine transform written out."""
+    rng = np.random.default_rng(3)
+    for rows in (1, 5, 32, 100):
+        payload = rng.integers(0, 256, rows * 64).astype(np.uint8).tobytes()
+        image = np.frombuffer(payload, np.uint8).reshape(rows, 64).astype(float)
+        pairs = image[:, ::2] + image[:, 1::2]
+        if rows < 32:
+            small = np.array([pairs[i * rows // 32] for i in range(32)])
+        else:
+            edges = [i * rows // 32 for i in range(33)]
+            small = np.array([pairs[a:b].mean(axis=0) for a, b in zip(edges, edges[1:], strict=False)])
+        low = np.array([[sum(small[y, x] * np.cos(np.pi * u * (2 * y + 1) / 64) * np.cos(np.pi * v * (2 * x + 1) / 64) for y in range(32) for x in range(32)) for v in range(8)] for u in range(8)]).ravel()
+        low[0] = 0
+        median = np.median(low[1:])
+        got = np.unpackbits(np.frombuffer(bytes.fromhex(media.cosine_hash(payload)), np.uint8)).astype(bool)
+        # Integers round; only a frequency that all but equals the median may fall on its other side.
+        sure = np.abs(low - median) > 1e-3 * np.abs(low).max()
+        assert (got == (low > median))[sure].all() and sure.sum() >= 60

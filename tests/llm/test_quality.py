@@ -57,8 +57,10 @@ def test_scores_against_brute_force(docs, spark):
         trusted.update(map(place, g) if d < 8 else [])
     share = sum(trusted.values()) / sum(raw.values())
     evidence = lambda b, left=0: log((max(0, trusted[b] - left) + 1) / (max(0, raw[b] - 1) * share + 1))
-    score = {d: sum(evidence(place(g)) for g in own[d]) / len(own[d]) for d in own}
-    out = {d: sum(evidence(place(g), 1) for g in own[d]) / len(own[d]) for d in range(8)}
+    # Counts hold an n-gram once for each text; the mean is over all n-grams of a text.
+    said = {d: [("w", x) for x in listed[d]] + [("p", x % size) for x in paired[d]] for d in listed}
+    score = {d: sum(evidence(place(g)) for g in said[d]) / len(said[d]) for d in said}
+    out = {d: sum(evidence(place(g), 1) for g in said[d]) / len(said[d]) for d in range(8)}
     got = {r.doc_id: r for r in quality.judge(df, labels).collect()}
     limit = np.quantile([out[d] for d in out if not got[d].base_failed], quality.QUANTILE)
     for d, w in score.items():
