@@ -86,3 +86,20 @@ def test_empty_table(spark, folder, tmp_path):
     for t in ("documents", "labels"):
         common.table(spark, folder, t).limit(0).write.parquet(f"{empty}/{t}.parquet")
     assert corpus_pipeline.run(spark, empty).count() == 0
+
+
+CLASHING = ["score", "kept", "words_", "hash_", "key_id", "key_text", "ranges", "both_", "cut_", "fp", "spans", "turns", "parts_", "row", "rest", "box", "found", "files", "redacted_0", "text_0", "mark", "size", "at"]
+
+
+def test_stages_bring_columns_of_any_name_back(spark, folder):
+    """Columns with the names that operators use inside come back unchanged from every stage."""
+    docs = common.table(spark, folder, "documents").filter("doc_id >= 50 or doc_id < 8")
+    docs = docs.selectExpr("*", *[f"concat('{n}', doc_id) AS {n}" for n in CLASHING])
+    names = docs.columns
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs, _ = common.stored(stage(spark, docs, folder), "test")
+        assert docs.columns == names
+    rows = docs.collect()
+    assert rows and all(r[n] == f"{n}{r.doc_id}" for r in rows for n in CLASHING)
+    _, last = corpus_pipeline.STAGES[-1]
+    assert {r.doc_id for r in last(spark, docs, folder).collect()} == {r.doc_id for r in rows}
