@@ -10,6 +10,7 @@ import uuid
 import zipfile
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from functools import wraps
 from pathlib import Path
 
 import pyarrow as pa
@@ -138,6 +139,32 @@ def swept(spark: SparkSession):
             delete(spark, path)
 
 
+#: Folders that the last stage left, of which its result may still be computed.
+_left: set[str] = set()
+
+
+def stage(run: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    """A stage that first deletes what the stage before it left in the shared folder.
+
+    A stage gets rows that were written and read again, so what the one before it
+    left is no longer needed; where its rows do come from there, it stays.
+    """
+
+    @wraps(run)
+    def staged(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        _left.intersection_update(_scratches)
+        if _left and not any(path.rpartition("/")[2] in f for f in docs.inputFiles() for path in _left):
+            for path in list(_left):
+                delete(spark, path)
+        _left.clear()
+        before = set(_scratches)
+        found = run(spark, docs, sf_dir)
+        _left.update(_scratches - before)
+        return found
+
+    return staged
+
+
 def scratch(spark: SparkSession, what: str) -> str:
     """A new folder name under the shared folder, deleted when the driver ends."""
     path = f"{shared_dir(spark)}/tarn-{what}-{uuid.uuid4().hex}"

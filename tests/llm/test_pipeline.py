@@ -99,6 +99,9 @@ def test_stages_bring_columns_of_any_name_back(spark, folder):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         docs, _ = common.stored(stage(spark, docs, folder), "test")
         assert docs.columns == names
+    # Rows that were not written go on: a stage keeps what they are computed from.
+    lazy = corpus_pipeline.repeat_removal(spark, corpus_pipeline.near_dedup(spark, docs, folder), folder)
+    assert lazy.count() == docs.count()
     rows = docs.collect()
     assert rows and all(r[n] == f"{n}{r.doc_id}" for r in rows for n in CLASHING)
     _, last = corpus_pipeline.STAGES[-1]
