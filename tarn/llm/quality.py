@@ -47,7 +47,9 @@ from .common import stored
 
 #: Buckets of words, and as many of pairs: the least and the most.
 LEAST_BUCKETS = 1 << 12
-MOST_BUCKETS = 1 << 16
+MOST_BUCKETS = 1 << 15
+#: Characters of a plan that the driver keeps as text; a plan here holds all ratios.
+PLAN_TEXT = 1 << 16
 TRUSTED = 20_000
 QUANTILE = 0.005
 SMOOTH = 1.0
@@ -124,6 +126,10 @@ class Evidence:
     """What the corpus says: counts of n-grams, ratios by bucket, damning words and the threshold."""
 
     def __init__(self, docs: DataFrame, labels: DataFrame, trusted: int = TRUSTED):
+        key, spark = "spark.sql.maxPlanStringLength", docs.sparkSession
+        now = spark.conf.get(key).lower().removesuffix("b")
+        if not now.isdigit() or int(now) > PLAN_TEXT:
+            spark.conf.set(key, f"{PLAN_TEXT}b")
         self.known = marked(docs, labels, trusted)
         octets, self.good = self.known.agg(F.sum(F.octet_length("text")), F.count("trusted_")).first()
         self.size = buckets_for(octets or 0)
