@@ -92,4 +92,4 @@ def test_hash_against_a_plain_cosine_transform():
         got = np.unpackbits(np.frombuffer(bytes.fromhex(media.cosine_hash(payload)), np.uint8)).astype(bool)
         # Integers round; only a frequency that all but equals the median may fall on its other side.
         sure = np.abs(low - median) > 1e-3 * np.abs(low).max()
-        assert (got == (low > median))[sure].all() and sure.sum() >= 60
+        assert (got == (low > median))[sure].all() and sure.sum() >= (60 if rows >= 32 else 7)
